@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneloom.llm import linedup, mixing, simhash, winnow
+from paneloom.llm import crf, linedup, mixing, simhash, winnow
 from paneloom.llm.shared import cut
 
 
@@ -13,6 +13,13 @@ def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*docs.columns)
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives a probability of 0.5 or more go; it learns from all labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic = crf.tag(docs, docs, labels).where("score >= 0.5").select(F.col("id").alias("_id")).distinct()
+    return docs.join(toxic, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document of which they leave nothing but white space goes with them."""
     found = linedup.drop_repeated_lines(docs)
@@ -41,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
+STAGES = [("drop_toxic", drop_toxic), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
 #: SimHash and the classifier can't be told in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneloom.llm import linedup, mixing, simhash, winnow
+from paneloom.llm import crf, langid, licenses, linedup, mixing, simhash, substrings, winnow
+from paneloom.llm.shared import fold_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,24 +18,74 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    at = F.transform("places", lambda p: p["word"])
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    other = F.transform("blocks", lambda b: b["label"])
+    score = F.greatest(F.when(F.size("places") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, other))), ",").alias("labels"),
+        score.alias("score"),
+    )
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != 2))
+    found = langid.identify(docs, learned)
+    return found.select(F.col("id").alias("doc_id"), (fold_of(F.col("id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    other = fold_of(F.col("doc_id")) != 2
+    found = crf.tag(docs, docs.where(other), labels.where(other))
+    return found.select(F.col("id").alias("doc_id"), (fold_of(F.col("id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_mixing": op6_mixing, "op8_decontaminate": op8_decontaminate, "op10_linededup": op10_linededup}
+QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op4_substrings": op4_substrings, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_linededup": op10_linededup}
 
 ORACLES = {
+    "op4_substrings": r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM words, unnest(range(1, len(w) - 11)) AS t(i)),
+first AS (SELECT win, min(doc_id) AS low FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, p FROM windows JOIN first USING (win), unnest(range(i, i + 13)) AS t(p) WHERE low < doc_id),
+gone_lists AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id),
+places AS (SELECT doc_id, p, w[p] AS word FROM words, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS txt FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM words LEFT JOIN gone_lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op8_decontaminate": r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
