@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneloom.llm import crf, langid, licenses, linedup, mixing, simhash, substrings, winnow
+from paneloom.llm import crf, langid, licenses, linedup, mixing, simhash, sphere, substrings, warc, winnow
 from paneloom.llm.shared import fold_of
 
 
@@ -36,11 +36,23 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sphere.linked_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.drop_repeated_spans(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    number = lambda c: F.substring_index(c, "-", -1).cast("long")
+    return found.select(number("record_id").alias("page_id"), "canonical", "status", number("response_id").alias("response_page_id"), headers.alias("headers"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -70,9 +82,40 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op4_substrings": op4_substrings, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_linededup": op10_linededup}
+QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_embeddings": op3_embeddings, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_linededup": op10_linededup}
 
 ORACLES = {
+    "op5_warc": r"""
+WITH parts AS (
+  SELECT page_id, url, html, regexp_replace(url, '#.*$', '') AS u FROM pages),
+canon AS (
+  SELECT page_id, md5(coalesce(html, '')) AS digest, CAST(coalesce(strlen(html), 0) AS VARCHAR) AS n,
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www[0-9]*[.]', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(u, '^[^:]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS params
+  FROM parts),
+caps AS (SELECT page_id, digest, n, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN params = '' THEN '' ELSE '?' || params END AS canonical FROM canon),
+met AS (
+  SELECT a.page_id, a.canonical, a.digest, max(f.page_id) AS response_page_id
+  FROM caps a LEFT JOIN caps f ON a.canonical = f.canonical AND f.page_id * 2 < a.page_id * 2 + 2001 AND f.page_id % 10 <> 7
+  GROUP BY ALL)
+SELECT m.page_id, m.canonical, m.response_page_id,
+  CASE WHEN m.response_page_id IS NULL THEN 'none' WHEN m.page_id % 5 <> 4 AND m.digest = f.digest THEN 'resolved' ELSE 'mismatch' END AS status,
+  CASE WHEN m.response_page_id IS NOT NULL AND m.page_id % 5 <> 4 AND m.digest = f.digest
+    THEN 'age=' || m.page_id || ';content-length=' || f.n || ';content-type=text/html;etag=W/' || m.digest END AS headers
+FROM met m LEFT JOIN caps f ON m.response_page_id = f.page_id
+""",
+    "op3_embeddings": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least_ AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN least_ ON vec_id = least_.x LEFT JOIN n ON vec_id = n.x
+""",
     "op4_substrings": r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
