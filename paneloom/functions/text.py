@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; keeps expressions small whose parts are used many times."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip_markup(html: Column) -> Column:
     """Scripts, styles, comments and tags become spaces, and runs of white space one."""
     bare = F.regexp_replace(html, "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.plans import relational
+from paneloom.plans import estimates, literal, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {**relational.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES}
+QUERIES: dict[str, Query] = {**relational.QUERIES, **literal.QUERIES, **estimates.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **literal.ORACLES, **estimates.ORACLES}
