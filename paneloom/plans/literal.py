@@ -124,3 +124,49 @@ def _flags(s):
 
 FLAGS = [("本院认为，被告人系自首。被告人未取得被害人谅解。", True, False, False, False), ("本院认为，不构成自首。已取得谅解；认罪认罚。", False, True, True, False), ("经审理查明，被告人扒窃手机。本院认为，成立。", False, False, False, True)]
 register("doc_flags", FLAGS, ["surrender", "forgiveness", "plea_formal", "spec_pickpocket"], _flags)
+
+
+TWO = (
+    "某法院刑事判决书公诉机关某检察院。被告人王某，男，1990年1月1日出生，住某县。因涉嫌犯盗窃罪被刑事拘留。现羁押于某看守所。"
+    "被告人王某，男，1985年2月2日出生，住某县。因涉嫌犯盗窃罪被取保候审。现取保候审于其住所地。"
+    "某检察院以某号起诉书指控被告人王某、王某犯盗窃罪，于某日提起公诉。本院适用速裁程序审理。"
+    "公诉机关指控：两被告人窃得财物价值人民币50000100000元。被告人对指控无异议并签字具结。"
+    "本院认为，被告人构成盗窃罪。判决如下：一、被告人王某犯盗窃罪，判处有期徒刑一年，并处罚金人民币2000元。"
+    "二、被告人王某犯盗窃罪，判处拘役三个月，缓刑六个月，并处罚金人民币50000100000元。"
+)
+
+
+def _two(spark):
+    from paneloom.operators import extract
+
+    return extract, extract.segmented(spark.createDataFrame([(1, TWO, None)], "doc_id long, judgment string, judged date"))
+
+
+def party_extract(spark, sf_dir):
+    extract, rows = _two(spark)
+    found = extract.defendants(rows)
+    return found.select("doc_id", F.col("def_idx").cast("long").alias("def_idx"), "def_name", "pretrial_status_at_judgment", F.array_join("charges", ";").alias("charges"), "term_months", "probation", "fine_outlier", "fine_yuan_ctrl", "dup_pseudonym", "outcomes_ok")
+
+
+def synthetic_doc(spark, sf_dir):
+    extract, rows = _two(spark)
+    return extract.documents(rows).select("doc_id", "speedy", "jiejie", "plea_formal", "leniency_proc", "amt_outlier", "amt_yuan_ctrl", "amt_source", "procedure", "has_facts", "has_verdict")
+
+
+def json_validate(spark, sf_dir):
+    from paneloom.operators import labels
+
+    replies = spark.createDataFrame(
+        [(1, '```json\n{"type": {"value": "A", "evidence": "x"}, "term": {"value": "1,200元", "evidence": null}}\n```'), (2, 'Here: {"type": {"value": "Z"}, "term": {"value": "未知"}} done'), (3, "no json"), (4, '{"type": {"value": null}}'), (5, None)],
+        "doc_id long, raw string",
+    )
+    spec = spark.createDataFrame([("type", "choice", ["A", "B"]), ("term", "number", None)], "field string, kind string, allowed array<string>")
+    return labels.validate(replies, spec).select("doc_id", "field", "value", "error")
+
+
+QUERIES |= {"party_extract": party_extract, "synthetic_doc": synthetic_doc, "json_validate": json_validate}
+ORACLES |= {
+    "party_extract": "SELECT CAST(1 AS BIGINT) AS doc_id, CAST(i AS BIGINT) AS def_idx, '王某' AS def_name, s AS pretrial_status_at_judgment, '盗窃罪' AS charges, CAST(t AS DOUBLE) AS term_months, p AS probation, o AS fine_outlier, CAST(f AS DOUBLE) AS fine_yuan_ctrl, TRUE AS dup_pseudonym, TRUE AS outcomes_ok FROM (VALUES (0, '在押', 12, FALSE, FALSE, 2000), (1, '取保', 3, TRUE, TRUE, NULL)) AS v(i, s, t, p, o, f)",
+    "synthetic_doc": "SELECT CAST(1 AS BIGINT) AS doc_id, TRUE AS speedy, TRUE AS jiejie, FALSE AS plea_formal, TRUE AS leniency_proc, TRUE AS amt_outlier, CAST(NULL AS DOUBLE) AS amt_yuan_ctrl, 'charge_sum' AS amt_source, '速裁' AS procedure, FALSE AS has_facts, TRUE AS has_verdict",
+    "json_validate": "SELECT CAST(d AS BIGINT) AS doc_id, f AS field, CAST(v AS VARCHAR) AS value, CAST(e AS VARCHAR) AS error FROM (VALUES (1, 'type', 'A', NULL), (1, 'term', '1200.0', NULL), (2, 'type', NULL, 'invalid:type'), (2, 'term', 'NA', NULL), (3, 'type', NULL, 'json_error'), (3, 'term', NULL, 'json_error'), (4, 'type', NULL, 'missing:type'), (4, 'term', NULL, 'missing:term'), (5, 'type', NULL, 'json_error'), (5, 'term', NULL, 'json_error')) AS t(d, f, v, e)",
+}
