@@ -9,6 +9,7 @@ number of clusters and columns bounds what the driver holds, and both are checke
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -270,6 +271,58 @@ def double_selection(g: Grams, y: str, treat: str, controls: list[str], penalty:
     return ols(g, y, [treat, *[c for c in controls if c in picked]])
 
 
+def folds_of(clusters: list[str], n: int) -> np.ndarray:
+    """Fold of each cluster, by a digest of its name, so that reruns and other engines agree."""
+    return np.array([int(hashlib.md5(c.encode()).hexdigest()[:8], 16) % n for c in clusters])
+
+
+def dml_plr(g: Grams, y: str, treat: str, controls: list[str], penalty: float, folds: int = 5) -> Fit:
+    """Partially linear model with cross-fitting: lasso residuals of y and the treatment, folds of whole clusters.
+
+    Residuals are linear in the columns, so their products within each cluster are read off its Gram matrix.
+    """
+    fold = folds_of(g.clusters, folds)
+    iy, it, ix = g.names.index(y), g.names.index(treat), [g.names.index(c) for c in controls]
+    vv, vu = np.zeros(len(g.clusters)), np.zeros(len(g.clusters))
+    for k in range(folds):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if not len(own) or not len(rest):
+            continue
+        part = Grams(g.names, [g.clusters[i] for i in rest], g.by_cluster[rest], max(1, g.n * len(rest) // len(g.clusters)), g.absorbed)
+        u, v = np.zeros(len(g.names)), np.zeros(len(g.names))
+        u[iy], v[it] = 1.0, 1.0
+        u[ix], v[ix] = -lasso(part, y, controls, penalty), -lasso(part, treat, controls, penalty)
+        vv[own] = np.einsum("i,gij,j->g", v, g.by_cluster[own], v)
+        vu[own] = np.einsum("i,gij,j->g", v, g.by_cluster[own], u)
+    theta = vu.sum() / vv.sum()
+    return Fit([treat], np.array([theta]), np.array([[((vu - theta * vv) ** 2).sum() / vv.sum() ** 2]]), g.n, len(g.clusters))
+
+
+def logit(df: DataFrame, y: str, xs: list[str], rounds: int = 25, tol: float = 1e-9) -> np.ndarray:
+    """Intercept and coefficients by Newton steps; each is one aggregation of as many sums as the Hessian has entries."""
+    b = np.zeros(len(xs) + 1)
+    terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+    for _ in range(rounds):
+        z = sum((t * float(c) for t, c in zip(terms[1:], b[1:], strict=True)), F.lit(float(b[0])))
+        p = 1 / (1 + F.exp(-z))
+        sums = [F.sum(terms[i] * (F.col(y) - p)).alias(f"g{i}") for i in range(len(b))]
+        sums += [F.sum(terms[i] * terms[j] * p * (1 - p)).alias(f"h{i}_{j}") for i in range(len(b)) for j in range(i + 1)]
+        row = df.agg(*sums).collect()[0]
+        h = np.array([[row[f"h{max(i, j)}_{min(i, j)}"] for j in range(len(b))] for i in range(len(b))])
+        step = np.linalg.solve(h, [row[f"g{i}"] for i in range(len(b))])
+        b += step
+        if np.abs(step).max() < tol:
+            break
+    return b
+
+
+def inverse_probability(df: DataFrame, y: str, xs: list[str], low: float = 0.02) -> DataFrame:
+    """df with the fitted probability, clipped to [low, 1], and its inverse as weight."""
+    b = logit(df, y, xs)
+    z = sum((F.col(x).cast("double") * float(c) for x, c in zip(xs, b[1:], strict=True)), F.lit(float(b[0])))
+    return df.withColumn("propensity", F.greatest(F.lit(low), F.least(F.lit(1.0), 1 / (1 + F.exp(-z))))).withColumn("weight", 1 / F.col("propensity"))
+
+
 def within_slope(df: DataFrame, y: str, x: str, effect: str, cluster: str) -> DataFrame:
     """slope and se of one regressor with one fixed effect, clustered, as one plan without numpy."""
     rows = df.select(F.col(effect).alias("e"), F.col(cluster).alias("c"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).dropna()

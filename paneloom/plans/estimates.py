@@ -97,3 +97,20 @@ SELECT round((1.959964 + 0.841621) * sqrt(sum((xy - slope * xx) * (xy - slope *
 def mde(spark, d):
     s = estimate.within_slope(panel(spark, d), "y", "x", "city", "city")
     return s.select(F.round(F.lit(1.959964 + 0.841621) * F.col("se"), 8).alias("mde"))
+
+
+@query()
+def dml_plr(spark, d):
+    df, names = estimate.add_design(panel(spark, d))
+    df = df.withColumn("x_sq", F.col("x") * F.col("x")).withColumn("x_x2", F.col("x") * F.col("x2"))
+    controls = ["x", "x2", "x_sq", "x_x2"]
+    g = estimate.grams(df, ["y"], ["pilot_P2_mig", *controls], "city_mig", "q_mig", "city")
+    return estimate.tidy(spark, estimate.dml_plr(g, "y", "pilot_P2_mig", controls, 0.01), 6)
+
+
+@query()
+def ipw_fit(spark, d):
+    rows = panel(spark, d).withColumn("observed", (F.col("x2") < 0.06).cast("int")).withColumn("xs", (F.col("x") - 25) / 15)
+    weighted = estimate.inverse_probability(rows, "observed", ["xs", "migrant", "pilot"]).where("observed = 1")
+    df, names = estimate.add_design(weighted)
+    return estimate.tidy(spark, estimate.ols(estimate.grams(df, ["y"], names, "city_mig", "q_mig", "city", "weight"), "y", names), 6)

@@ -170,3 +170,26 @@ ORACLES |= {
     "synthetic_doc": "SELECT CAST(1 AS BIGINT) AS doc_id, TRUE AS speedy, TRUE AS jiejie, FALSE AS plea_formal, TRUE AS leniency_proc, TRUE AS amt_outlier, CAST(NULL AS DOUBLE) AS amt_yuan_ctrl, 'charge_sum' AS amt_source, '速裁' AS procedure, FALSE AS has_facts, TRUE AS has_verdict",
     "json_validate": "SELECT CAST(d AS BIGINT) AS doc_id, f AS field, CAST(v AS VARCHAR) AS value, CAST(e AS VARCHAR) AS error FROM (VALUES (1, 'type', 'A', NULL), (1, 'term', '1200.0', NULL), (2, 'type', NULL, 'invalid:type'), (2, 'term', 'NA', NULL), (3, 'type', NULL, 'json_error'), (3, 'term', NULL, 'json_error'), (4, 'type', NULL, 'missing:type'), (4, 'term', NULL, 'missing:term'), (5, 'type', NULL, 'json_error'), (5, 'term', NULL, 'json_error')) AS t(d, f, v, e)",
 }
+
+
+REFERENCES = [("上诉人不服某法院（2015）兴刑初字第153号刑事判决", "（2015）兴刑初字第153号"), ("不服(2018)粤0902刑初370号判决", "(2018)粤0902刑初370号"), ("没有", None), (None, None)]
+register("first_instance_reference", REFERENCES, ["found"], lambda s: {"found": F.nullif(F.regexp_extract(s, "([（(][0-9]{4}[)）][^，。；]{1,12}?刑[^，。；]{0,6}?初[^，。；]{0,6}?[0-9]+号)", 1), F.lit(""))})
+
+CANDIDATES = [("盗窃罪", True, False), ("未知", False, True), ("抢劫罪", False, False), (None, False, False)]
+register("theft_candidates", CANDIDATES, ["is_theft", "is_unclassified"], lambda s: {"is_theft": F.coalesce(s == "盗窃罪", F.lit(False)), "is_unclassified": F.coalesce(s.startswith("未"), F.lit(False))})
+
+YEARS = [("案发于2014年3月", 2014), ("1999年与2001年", 1999), ("3014", None), ("", None), (None, None)]
+register("year_parse", YEARS, ["year"], lambda s: {"year": numerals.year_in(s)})
+
+WHERE = [(FULL + "|窃得手机一部", "charge"), (FULL + "|构成盗窃罪", "reasoning"), (FULL + "|不在其中", "not_found_in_text"), ("|x", "not_found_in_text")]
+
+
+def _where(s):
+    """The first segment that holds a returned text."""
+    text, sought = F.substring_index(s, "|", 1), F.substring_index(s, "|", -1)
+    sp = judgments.spans(text)
+    found = F.coalesce(*[F.when(judgments.segment(text, sp[k]).contains(sought), k) for k in judgments.SEGMENTS], F.lit("not_found_in_text"))
+    return {"place": found}
+
+
+register("evidence_location", WHERE, ["place"], _where)

@@ -342,3 +342,62 @@ def join_chain_top(spark, d):
 def pricing_summary(spark, d):
     l = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, text LIKE '%License%' AS license, regexp_matches(text, '[0-9]{4}') AS years, text LIKE '%@%' AS mail, CASE WHEN toxic IS NULL THEN 2.0 ELSE 1.0 END AS w FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'license' AS cue, sum(license::INT)::BIGINT AS n, round(avg(license::INT), 9) AS share, round(sum(license::INT * w) / sum(w), 9) AS w_share, sum(license::INT) < 20 AS few FROM c UNION ALL
+SELECT 'years', sum(years::INT)::BIGINT, round(avg(years::INT), 9), round(sum(years::INT * w) / sum(w), 9), sum(years::INT) < 20 FROM c UNION ALL
+SELECT 'mail', sum(mail::INT)::BIGINT, round(avg(mail::INT), 9), round(sum(mail::INT * w) / sum(w), 9), sum(mail::INT) < 20 FROM c""")
+def cue_battery(spark, d):
+    """How often each cue is met, plain and weighted, and whether too seldom to be judged; one pass, then one row a cue."""
+    rows = docs_labels(spark, d).withColumn("w", F.when(F.col("toxic").isNull(), 2.0).otherwise(1.0))
+    cues = {"license": F.col("text").contains("License"), "years": F.col("text").rlike("[0-9]{4}"), "mail": F.col("text").contains("@")}
+    aggs = [a for k, c in cues.items() for a in (F.sum(c.cast("long")).alias(f"n_{k}"), summary.share(c).alias(f"s_{k}"), summary.weighted_mean(c.cast("double"), F.col("w")).alias(f"w_{k}"))]
+    long = rows.agg(*aggs).selectExpr(f"stack({len(cues)}, " + ", ".join(f"'{k}', n_{k}, s_{k}, w_{k}" for k in cues) + ") AS (cue, n, share, w_share)")
+    return long.select("cue", "n", F.round("share", 9).alias("share"), F.round("w_share", 9).alias("w_share"), (F.col("n") < 20).alias("few"))
+
+
+@query("""WITH u AS (SELECT doc_id, CASE WHEN n_chars < 100 THEN 'short' WHEN toxic IS NULL THEN 'unlabelled' WHEN quality = 0 THEN 'poor' END AS reason FROM documents LEFT JOIN labels USING (doc_id)),
+q AS (SELECT doc_id, reason FROM u WHERE reason IS NOT NULL UNION ALL SELECT conv_id, 'conversation' FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'))
+SELECT reason, count(*) AS n, count(DISTINCT doc_id) AS docs FROM q GROUP BY reason""")
+def work_queue(spark, d):
+    """What is unresolved, by the first reason that holds, and what another table adds."""
+    reason = F.when(F.col("n_chars") < 100, "short").when(F.col("toxic").isNull(), "unlabelled").when(F.col("quality") == 0, "poor")
+    own = docs_labels(spark, d).select("doc_id", reason.alias("reason")).where("reason is not null")
+    other = table(spark, d, "conversations").where("role = 'system'").select(F.col("conv_id").alias("doc_id")).distinct().withColumn("reason", F.lit("conversation"))
+    return own.unionByName(other).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("""SELECT event_type, count(*) AS calls, round(sum(value), 4) AS cost, round(avg(value), 6) AS latency, sum((value < 1)::INT)::BIGINT AS failed FROM events GROUP BY ROLLUP (event_type)""".replace("SELECT event_type,", "SELECT coalesce(event_type, 'ALL') AS stage,"))
+def cost_by_stage(spark, d):
+    e = table(spark, d, "events").withColumnRenamed("event_type", "stage")
+    aggs = [F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("cost"), F.round(F.avg("value"), 6).alias("latency"), F.sum((F.col("value") < 1).cast("long")).alias("failed")]
+    return summary.with_total(e, "stage", aggs, "ALL")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('99-' || doc_id), doc_id) AS i FROM documents) SELECT lang, source, doc_id, i::BIGINT AS draw FROM r WHERE i <= 2""")
+def spot_check(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.concat_ws("|", "lang", "source").alias("cell"))
+    return sampling.stratified(docs, "cell", 2, 99, "doc_id").select("lang", "source", "doc_id", F.col("draw").cast("long").alias("draw"))
+
+
+@query("""WITH f AS (SELECT (toxic IS NULL)::INT AS a, (n_chars < 300)::INT AS b, (lang <> 'en')::INT AS c FROM documents LEFT JOIN labels USING (doc_id))
+SELECT sum(a)::BIGINT AS need_a, sum(b)::BIGINT AS need_b, sum(c)::BIGINT AS need_c, sum((a + b + c > 0)::INT)::BIGINT AS any_need, sum((a + b > 0)::INT)::BIGINT AS without_c FROM f""")
+def fill_sizes(spark, d):
+    """Sizes of the sets to fill, of their union and of the union without one."""
+    a, b, c = F.col("toxic").isNull(), F.col("n_chars") < 300, F.col("lang") != "en"
+    n = lambda x: F.sum(x.cast("long"))
+    return docs_labels(spark, d).agg(n(a).alias("need_a"), n(b).alias("need_b"), n(c).alias("need_c"), n(a | b | c).alias("any_need"), n(a | b).alias("without_c"))
+
+
+@query("""SELECT o_orderpriority, round(avg((o_totalprice > 100000)::INT), 9) AS share, round(sum((o_totalprice > 100000)::INT * o_shippriority_w) / sum(o_shippriority_w), 9) AS w_share FROM (SELECT *, 1 + (o_orderkey % 3) AS o_shippriority_w FROM orders) GROUP BY 1""")
+def weighted_agreement(spark, d):
+    o = table(spark, d, "orders").withColumn("w", 1 + F.col("o_orderkey") % 3)
+    big = F.col("o_totalprice") > 100000
+    return o.groupBy("o_orderpriority").agg(F.round(summary.share(big), 9).alias("share"), F.round(summary.weighted_mean(big.cast("double"), F.col("w")), 9).alias("w_share"))
+
+
+@query("""SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1)::BIGINT AS row_id FROM documents""")
+def dense_row_ids(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    return tables.dense_ids(docs, [F.desc("n_chars"), F.asc("doc_id")], "row_id").select("doc_id", F.col("row_id").cast("long").alias("row_id"))
