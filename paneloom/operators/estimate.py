@@ -149,7 +149,7 @@ def independent(gram: np.ndarray, tol: float = 1e-9) -> list[int]:
         rest = gram[j, j]
         if keep:
             b = gram[np.ix_(keep, [j])]
-            rest = rest - float(b.T @ np.linalg.solve(gram[np.ix_(keep, keep)], b))
+            rest = rest - (b.T @ np.linalg.solve(gram[np.ix_(keep, keep)], b)).item()
         if rest > tol * max(1e-300, gram[j, j]) and gram[j, j] > 0:
             keep.append(j)
     return keep
