@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import getpass
 import sys
 import tempfile
@@ -44,6 +45,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/paneloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # what led to the table isn't needed any more; its shuffle files go once the driver has collected its plan
+    gc.collect()
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

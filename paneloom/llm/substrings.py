@@ -235,8 +235,9 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = cut(_cut_pieces(joined, span, gram), "pieces")
 
     placed = table.where("pieces is not null").select("id", "h", F.explode("pieces").alias("p")).select("id", "h", "p.anchor", "p.start", "p.piece")
-    distinct = placed.groupBy("anchor", "piece").agg(F.min("id").alias("first"))
-    sizes = placed.groupBy("anchor", F.xxhash64("piece").alias("k")).agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)
+    distinct = cut(placed.groupBy("anchor", "piece").agg(F.min("id").alias("first")), "distinct")
+    # anchors with more pieces than a shard holds; written first, so that the planner knows how few they are
+    sizes = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard), "sizes")
     shards = F.ceil(F.coalesce("n", F.lit(1)) / shard).cast("int")
     dealt = distinct.join(sizes, "anchor", "left").withColumn("shards", shards).withColumn("own", F.pmod(F.hash("piece"), F.col("shards")))
     dealt = dealt.select("anchor", "first", "piece", "own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).select("anchor", "shard", (F.col("shard") == F.col("own")).alias("builds"), "first", "piece")
