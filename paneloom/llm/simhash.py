@@ -12,6 +12,7 @@ id. Rows whose id is null keep their fingerprint and belong to the component of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +30,9 @@ by_value(__name__)
 SEED = 42
 #: Words hashed at once, so that the memory for one long text stays bounded.
 PIECE = 1 << 18
-WIDE_BITS, WIDE_DIMS, WIDE_BLOCKS, WIDE_BLOCK_BITS = 512, 512, 150, 24
+WIDE_BITS, WIDE_DIMS = 512, 512
+#: How many documents tell which shingles are common, and how many of those are kept. Both only set the order of shingles, not what is found.
+COMMON_DOCS, COMMON_SHINGLES = 20_000, 1 << 18
 
 
 def shingle_hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
@@ -83,39 +86,79 @@ def classic_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")
 
 
-def wide_plan(bits: int, dims: int, blocks: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The projections and, for each block, the bits it takes; both from a fixed seed."""
-    rng = np.random.default_rng(SEED)
-    return rng.standard_normal((dims, bits)).astype(np.float32), np.stack([rng.permutation(bits)[:width] for _ in range(blocks)])
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    seen = list(shingle_hashes(text, k))
+    return np.unique(np.concatenate(seen)) if seen else np.empty(0, dtype=np.uint64)
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, fp array of 8 longs, keys array of block keys): one row per input row.
+def common_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the commonest shingles of about COMMON_DOCS documents, sorted by hash."""
+    small_batches(docs.sparkSession)
+    every = max(1, docs.count() // COMMON_DOCS)
+
+    def run(batches):
+        for b in batches:
+            got = [shingle_set(t.as_py(), shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64) if got else [], pa.int64())], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0).select(F.col(text_col).cast("string"))
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = counts.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], p: int, q: int) -> np.ndarray:
+    """The rarest shingles of a set, of which two sets of Jaccard similarity p/q or more share at least one.
+
+    Such sets share ceil(p/q n) shingles of either's n or more, so all but that many and one more,
+    in an order that is the same for every set, can't miss all that are shared.
+    """
+    n = len(hashes)
+    take = n + (-p * n) // q + 1 if n else 0
+    known, counts = common
+    if not n or not len(known):
+        return hashes[:take]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return hashes[np.lexsort((hashes, np.where(known[at] == hashes, counts[at], 0)))[:take]]
+
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """One list of longs a row."""
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64()))
+
+
+def ratio(similarity: float) -> tuple[int, int]:
+    """The similarity as the fraction that its decimal digits say, so that no bound depends on rounding."""
+    return Fraction(str(similarity)).as_integer_ratio()
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, fp array of 8 longs, keys array of the prefix's shingles): one row per input row.
 
     Each distinct shingle adds +1 or -1 to one of WIDE_DIMS counters (both by its hash), and the
     counters are projected on WIDE_BITS random directions, whose signs are the bits.
     """
+    common, (p, q) = common_shingles(docs, id_col, text_col, shingle), ratio(similarity)
     small_batches(docs.sparkSession)
 
     def run(batches):
-        turn, taken = wide_plan(WIDE_BITS, WIDE_DIMS, WIDE_BLOCKS, WIDE_BLOCK_BITS)
-        powers = 1 << np.arange(WIDE_BLOCK_BITS, dtype=np.int64)
+        turn = np.random.default_rng(SEED).standard_normal((WIDE_DIMS, WIDE_BITS)).astype(np.float32)
         for b in batches:
             if not b.num_rows:
                 continue
-            sums = np.zeros((b.num_rows, WIDE_DIMS), dtype=np.float32)
+            sums, keys = np.zeros((b.num_rows, WIDE_DIMS), dtype=np.float32), []
             for i, text in enumerate(b.column(1)):
-                seen = list(shingle_hashes(text.as_py(), shingle))
-                if seen:
-                    h = np.unique(np.concatenate(seen))
+                h = shingle_set(text.as_py(), shingle)
+                keys.append(prefix(h, common, p, q).view(np.int64))
+                if len(h):
                     sums[i] = np.bincount((h % np.uint64(WIDE_DIMS)).astype(np.int64), weights=1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)), minlength=WIDE_DIMS)
             on = sums @ turn > 0
             fp = np.packbits(on, axis=1, bitorder="little").view(np.int64)
-            keys = np.empty((b.num_rows, WIDE_BLOCKS), dtype=np.int64)
-            for j in range(WIDE_BLOCKS):
-                keys[:, j] = (on[:, taken[j]] @ powers) | (j << 32)
-            flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat(fp), flat(keys)], ["id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(list(fp)), lists(keys)], ["id", "fp", "keys"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp array<long>, keys array<long>")
 
@@ -188,12 +231,12 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """(id, component): documents connected by links of Jaccard similarity `similarity` or more, as wide fingerprints tell it.
 
     Sets of similarity s have cosine 2s/(1+s); the bits that differ are the angle's share of pi, and
-    a link allows for one standard deviation more. Two sets of similarity 0.8 share one of the
-    150 blocks of 24 bits in about 94 of 100 cases, sets of 0.85 in 99; wider blocks hold fewer chance mates.
+    a link allows for one standard deviation more. Candidates share a shingle of their prefixes, as
+    all sets of that similarity do.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(WIDE_BITS * p + (WIDE_BITS * p * (1 - p)) ** 0.5)
-    prints = cut(wide_fingerprints(docs, id_col, text_col, shingle), "wide")
+    prints = cut(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "wide")
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "classes")
     words = [f"f{i}" for i in range(WIDE_BITS // 64)]
     nodes = classes.where("node is not null").select("node", *[F.col("fp")[i].alias(w) for i, w in enumerate(words)])

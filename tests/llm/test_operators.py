@@ -81,6 +81,34 @@ def test_near_duplicates(edge, none):
     assert simhash.near_duplicate_components(none).count() == 0
 
 
+def near_copies():
+    """Ids to texts: pairs whose five-word sets have every similarity around 0.8, a chain, and a common passage."""
+    rng, texts = np.random.default_rng(3), {}
+    common = [f"c{i}" for i in range(60)]
+    for i in range(120):
+        n = int(rng.integers(40, 400))
+        base = [f"w{i}x{j}" for j in range(n)] + (common if i % 2 else [])
+        changed = list(base)
+        for at in rng.choice(n, max(1, round(n * rng.uniform(0.01, 0.04))), replace=False):
+            changed[at] = f"new{i}x{at}"
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(changed)
+    return texts
+
+
+def five_word_sets(texts):
+    w = {i: t.lower().split() for i, t in texts.items()}
+    return {i: {tuple(x[j : j + 5]) for j in range(max(1, len(x) - 4))} for i, x in w.items()}
+
+
+def test_near_duplicate_candidates(spark):
+    """Every pair of similarity 0.8 or more shares a key."""
+    texts = near_copies()
+    sets = five_word_sets(texts)
+    keys = {r.id: set(r["keys"]) for r in simhash.wide_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    near = [(i, i + 1) for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(near) > 30 and all(keys[a] & keys[b] for a, b in near)
+
+
 def test_line_dedup(edge):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UP)
