@@ -1,8 +1,8 @@
 """SimHash near-duplicates: pigeonhole blocks, a join on blocks, then the Hamming distance.
 
 Two fingerprints are offered. `classic_fingerprints` is the 64-bit majority of the shingles' XXH64
-bits. `wide_fingerprints` is the sign of 512 random projections of the shingle set: the share of
-differing bits is the angle between two sets over pi, so similarities around 0.8 can be told apart.
+bits. `wide_fingerprints` is the parity of 512 bits that the shingle set turns over: it rules pairs
+out for a Jaccard similarity, and the shingle sets themselves decide what is left.
 
 Nulls and texts without words have fingerprint zero and link like any other; texts of fewer words
 than a shingle are one shingle. Copies share a fingerprint and take part once, under their smallest
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from paneloom.llm.graph import components
-from paneloom.llm.shared import by_value, cut, small_batches
+from paneloom.llm.shared import by_value, cut, drop_cut, small_batches
 
 by_value(__name__)
 
 SEED = 42
 #: Words hashed at once, so that the memory for one long text stays bounded.
 PIECE = 1 << 18
-WIDE_BITS, WIDE_DIMS = 512, 512
+WIDE_BITS = 512
 #: How many documents tell which shingles are common, and how many of those are kept. Both only set the order of shingles, not what is found.
 COMMON_DOCS, COMMON_SHINGLES = 20_000, 1 << 18
 
@@ -137,30 +137,44 @@ def ratio(similarity: float) -> tuple[int, int]:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, fp array of 8 longs, keys array of the prefix's shingles): one row per input row.
+    """(id, digest, n, fp array of 8 longs, keys array of the prefix's shingles): one row per input row.
 
-    Each distinct shingle adds +1 or -1 to one of WIDE_DIMS counters (both by its hash), and the
-    counters are projected on WIDE_BITS random directions, whose signs are the bits.
+    digest tells sets of shingles apart and n is their size. Each distinct shingle turns over one of
+    WIDE_BITS bits, so two fingerprints never differ in more bits than the sets differ in shingles.
     """
     common, (p, q) = common_shingles(docs, id_col, text_col, shingle), ratio(similarity)
     small_batches(docs.sparkSession)
 
     def run(batches):
-        turn = np.random.default_rng(SEED).standard_normal((WIDE_DIMS, WIDE_BITS)).astype(np.float32)
         for b in batches:
-            if not b.num_rows:
-                continue
-            sums, keys = np.zeros((b.num_rows, WIDE_DIMS), dtype=np.float32), []
-            for i, text in enumerate(b.column(1)):
+            digests, sizes, keys, fps = [], [], [], []
+            for text in b.column(1):
                 h = shingle_set(text.as_py(), shingle)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
                 keys.append(prefix(h, common, p, q).view(np.int64))
-                if len(h):
-                    sums[i] = np.bincount((h % np.uint64(WIDE_DIMS)).astype(np.int64), weights=1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)), minlength=WIDE_DIMS)
-            on = sums @ turn > 0
-            fp = np.packbits(on, axis=1, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(list(fp)), lists(keys)], ["id", "fp", "keys"])
+                odd = np.bincount(((h >> np.uint64(20)) % np.uint64(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS) & 1
+                fps.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists(fps), lists(keys)], ["id", "digest", "n", "fp", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp array<long>, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, digest binary, n long, fp array<long>, keys array<long>")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose shingle sets have the Jaccard similarity or more, told from the sets themselves."""
+    p, q = ratio(similarity)
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi").distinct()
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), lists([shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(1)])], ["id", "shingles"])
+
+    sets = cut(texts.mapInArrow(run, "id long, shingles array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("l")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("r")), "b")
+    kept = cut(both.where(F.size(F.array_intersect("l", "r")) * (p + q) >= (F.size("l") + F.size("r")) * p).select(*pairs.columns).distinct(), "similar")
+    drop_cut(sets)
+    return kept
 
 
 def pigeonhole_keys(fp: Column, distance: int, share: int = 2) -> Column:
@@ -181,14 +195,15 @@ def pigeonhole_keys(fp: Column, distance: int, share: int = 2) -> Column:
     return F.array(*keys)
 
 
-def linked(nodes: DataFrame, blocks: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], payload: list[str]) -> DataFrame:
+def linked(nodes: DataFrame, blocks: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], payload: list[str], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all nodes that have a link; two nodes link if they share a block and are close.
 
     nodes: node and payload columns, one row each. blocks: (key, node). close(l, r) says from the
     payload whether two rows link. Pairs within a group aren't listed: a first pass links each row of
     a block with the row before it and with the first one. Then only rows outside a block's largest
     component so far are compared with the rows of other components in the block, which finds every
-    link that joins two components.
+    link that joins two components. verify(pairs) keeps the rows (a, b, ...) that do link, where
+    close can only rule pairs out.
     """
     alone = W.partitionBy("key")
     shared = blocks.withColumn("n", F.count(F.lit(1)).over(alone)).where("n > 1").select("key", "node")
@@ -198,7 +213,8 @@ def linked(nodes: DataFrame, blocks: DataFrame, close: Callable[[Callable[[str],
     table = cut(rows.withColumn("before", F.lag(row).over(order)).withColumn("first", F.first(row).over(order)), "blocks")
     get = lambda prefix: lambda name: F.col(f"{prefix}{name}")
     near = [table.where(F.col(other).isNotNull() & (F.col(f"{other}.node") != F.col("node")) & close(get(""), get(f"{other}."))).select(F.col("node").alias("a"), F.col(f"{other}.node").alias("b")) for other in ("before", "first")]
-    first = components(near[0].union(near[1]).distinct())
+    pairs = near[0].union(near[1]).distinct()
+    first = components(verify(cut(pairs, "pairs")) if verify else pairs)
 
     placed = table.select("key", "node", *payload).join(first, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
     most = placed.groupBy("key", "at").count().groupBy("key").agg(F.max_by("at", F.struct("count", "at")).alias("top"), F.count(F.lit(1)).alias("n_at")).where("n_at > 1").drop("n_at")
@@ -206,7 +222,11 @@ def linked(nodes: DataFrame, blocks: DataFrame, close: Callable[[Callable[[str],
     left = open_.where("at <> top").select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "at", *payload)])
     right = open_.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "at", "top", *payload)])
     cond = (F.col("l_at") != F.col("r_at")) & ((F.col("r_at") == F.col("r_top")) | (F.col("l_node") < F.col("r_node"))) & close(get("l_"), get("r_"))
-    more = left.join(right, "key").where(cond).select(F.col("l_at").alias("a"), F.col("r_at").alias("b")).distinct()
+    found = left.join(right, "key").where(cond)
+    if verify:
+        pairs = found.select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), "l_at", "r_at").distinct()
+        found = verify(cut(pairs, "pairs"))
+    more = found.select(F.col("l_at").alias("a"), F.col("r_at").alias("b")).distinct()
     second = components(more)
     joined = first.unionByName(second.select("node", F.col("node").alias("component")).join(first.select("node"), "node", "left_anti"))
     return joined.join(second.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
@@ -228,25 +248,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component): documents connected by links of Jaccard similarity `similarity` or more, as wide fingerprints tell it.
+    """(id, component): documents connected by links of Jaccard similarity `similarity` or more; exact.
 
-    Sets of similarity s have cosine 2s/(1+s); the bits that differ are the angle's share of pi, and
-    a link allows for one standard deviation more. Candidates share a shingle of their prefixes, as
-    all sets of that similarity do.
+    Pairs that share a shingle of their prefixes are candidates, as all pairs of that similarity are.
+    Sizes and fingerprints rule most others out without error: the sets may differ in no more than
+    (1-s)/(1+s) of their sizes' sum. What remains is decided by the sets themselves.
     """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most = int(WIDE_BITS * p + (WIDE_BITS * p * (1 - p)) ** 0.5)
+    p, q = ratio(similarity)
     prints = cut(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "wide")
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "classes")
+    classes = cut(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
     words = [f"f{i}" for i in range(WIDE_BITS // 64)]
-    nodes = classes.where("node is not null").select("node", *[F.col("fp")[i].alias(w) for i, w in enumerate(words)])
+    nodes = classes.where("node is not null").select("node", "n", *[F.col("fp")[i].alias(w) for i, w in enumerate(words)])
     blocks = classes.where("node is not null").select(F.explode("keys").alias("key"), "node")
 
     def close(l, r):
         differ = F.bit_count(l(words[0]).bitwiseXOR(r(words[0])))
         for w in words[1:]:
             differ = differ + F.bit_count(l(w).bitwiseXOR(r(w)))
-        return differ <= most
+        sizes = F.least(l("n"), r("n")) * q >= F.greatest(l("n"), r("n")) * p
+        return sizes & (differ * (p + q) <= (l("n") + r("n")) * (q - p))
 
-    links = linked(nodes, blocks, close, words)
-    return _components_of(prints.select("id", "fp"), classes.select("fp", "node"), links, "fp").drop("fp")
+    links = linked(nodes, blocks, close, ["n", *words], lambda pairs: similar_pairs(docs, pairs, id_col, text_col, shingle, similarity))
+    return _components_of(prints.select("id", "digest"), classes.select("digest", "node"), links, "digest").drop("digest")

@@ -109,6 +109,15 @@ def test_near_duplicate_candidates(spark):
     assert len(near) > 30 and all(keys[a] & keys[b] for a, b in near)
 
 
+def test_near_duplicates_are_exact(spark):
+    """Groups are those of the exact Jaccard similarity: no pair of 0.8 or more apart, none below it joined."""
+    texts = near_copies()
+    sets = five_word_sets(texts)
+    up = roots(len(texts), [(a, b) for a in texts for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    got = dict(simhash.near_duplicate_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert 30 < sum(up[i] != i for i in texts) < 90 and all(got[i] == up[i] for i in texts)
+
+
 def test_line_dedup(edge):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UP)
