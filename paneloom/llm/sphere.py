@@ -1,6 +1,7 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-A vector of dimension d is normalised and cut into two halves; each half has a random code of CODE
+A vector of dimension d is normalised, turned by a fixed random rotation, so that both halves carry
+like energy whatever the vectors are, and cut into two halves; each half has a random code of CODE
 unit directions, and a filter is one direction of each half. Each vector is decoded to the list of
 its FILTERS nearest filters, that is to all whose inner product with it reaches its own threshold, by
 the halves' sorted inner products. Vectors that meet in a filter are compared by their cosine in
@@ -31,13 +32,17 @@ SEED, CODE, FILTERS, BUCKET = 42, 512, 24, 1000
 
 
 def code_of(dim: int) -> list[tuple[int, int, np.ndarray]]:
-    """(from, to, directions) of the two halves; one half for a single dimension."""
+    """(from, to, directions) of the two halves; one half for a single dimension.
+
+    The halves are of the rotated vector. The rotation is part of the directions, which therefore
+    take the whole vector as it is. A half of one dimension has two directions only.
+    """
     rng = np.random.default_rng([SEED, dim])
     cuts = [0, dim // 2, dim] if dim > 1 else [0, 1]
-    out = []
+    turn, out = np.linalg.qr(rng.standard_normal((dim, dim)))[0], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        c = rng.standard_normal((CODE, b - a))
-        out.append((a, b, c / np.linalg.norm(c, axis=1, keepdims=True)))
+        c = rng.standard_normal((CODE, b - a)) if b - a > 1 else np.array([[-1.0], [1.0]])
+        out.append((0, dim, (c / np.linalg.norm(c, axis=1, keepdims=True)) @ turn[:, a:b].T))
     return out
 
 
@@ -45,19 +50,26 @@ def decode(unit: np.ndarray, code: list[tuple[int, int, np.ndarray]], filters: i
     """For each row the filters that exceed its threshold: the `filters`-th greatest inner product, and all equal to it.
 
     Directions are sorted within each half; the pair of ranks (i, j) can be among the greatest n only if
-    (i + 1) * (j + 1) <= n, so few pairs are looked at.
+    (i + 1) * (j + 1) <= n, so few pairs are looked at. Where a pair just outside equals the threshold,
+    all pairs of the row are.
     """
     scores = [unit[:, a:b] @ c.T for a, b, c in code]
     if len(scores) == 1:
-        return list(np.argsort(-scores[0], axis=1)[:, :filters])
-    n = min(filters, CODE)
-    tops = [np.argsort(-s, axis=1, kind="stable")[:, :n] for s in scores]
+        scores.append(np.zeros((len(unit), 1)))
+    tops = [np.argsort(-s, axis=1, kind="stable")[:, : filters + 1] for s in scores]
     best = [np.take_along_axis(s, t, axis=1) for s, t in zip(scores, tops, strict=True)]
-    i, j = np.array([(x, y) for x in range(n) for y in range(n) if (x + 1) * (y + 1) <= n]).T
+    wide, high = (t.shape[1] for t in tops)
+    i, j = np.array([(x, y) for x in range(wide) for y in range(high) if (x + 1) * (y + 1) <= filters]).T
     sums = best[0][:, i] + best[1][:, j]
     names = tops[0][:, i] * CODE + tops[1][:, j]
-    chosen = np.argsort(-sums, axis=1, kind="stable")[:, :filters]
-    return list(np.take_along_axis(names, chosen, axis=1))
+    least = -np.sort(-sums, axis=1)[:, min(filters, sums.shape[1]) - 1]
+    chosen = [n[s >= t] for n, s, t in zip(names, sums, least, strict=True)]
+    edge = np.array([(x, filters // (x + 1)) for x in range(wide) if filters // (x + 1) < high], dtype=np.int64).reshape(-1, 2)
+    tied = (best[0][:, edge[:, 0]] + best[1][:, edge[:, 1]] >= least[:, None]).any(axis=1)
+    for row in np.flatnonzero(tied):
+        x, y = np.nonzero(scores[0][row][:, None] + scores[1][row] >= least[row])
+        chosen[row] = x * CODE + y
+    return chosen
 
 
 def _prepared(vectors: DataFrame) -> DataFrame:

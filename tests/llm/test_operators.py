@@ -280,6 +280,26 @@ def test_cap_recall():
     assert np.mean(met) >= 0.95
 
 
+@pytest.mark.parametrize("dim", [64, 256])
+@pytest.mark.parametrize("second", [0.3, 0.1, 0.0])
+def test_cap_recall_of_uneven_halves(dim, second):
+    """Pairs of cosine 0.9 whose second half carries little or nothing meet as often."""
+    rng = np.random.default_rng(5)
+    scale = np.where(np.arange(dim) < dim // 2, 1.0, second)
+    a, n = rng.standard_normal((2, 500, dim)) * scale
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    n -= (n * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + 0.19**0.5 * n / np.linalg.norm(n, axis=1, keepdims=True)
+    code = sphere.code_of(dim)
+    met = [bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(sphere.decode(a, code), sphere.decode(b, code), strict=True)]
+    assert np.mean(met) >= 0.95
+
+
+def test_tied_filters_are_kept():
+    code = [(0, 1, np.ones((40, 1))), (1, 2, np.ones((3, 1)))]
+    assert [len(x) for x in sphere.decode(np.array([[0.6, 0.8]]), code)] == [120]
+
+
 def test_licenses(edge, none):
     got = {r.id: r for r in licenses.scan(edge).collect()}
     for r in edge.where("doc_id is not null").collect():
