@@ -43,7 +43,7 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.drop_repeated_spans(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

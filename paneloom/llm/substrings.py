@@ -8,7 +8,11 @@ its suffix automaton, built in the order of the ids, knows for each substring th
 has it, and pieces streamed through it get matching statistics. Shards are dealt to the tasks
 by anchor instead of being broadcast one after another, as each broadcast would meet all documents
 again. A shard has SHARD pieces at most; an anchor with more gets several, and its pieces meet them all.
-Anchors of one document only are left out before.
+
+Volume: anchors travel as numbers, and those of one document only are left out; the text of a piece
+leaves a map task once, whatever the number of its places, which travel as numbers. A passage that
+many documents share is therefore summed within the map tasks before any shuffle, and the joins on
+its pieces are ones whose large partitions Spark splits.
 
 Null texts have no words; rows with a null id lose nothing and are nobody's reference. Rows of one id
 are one document as to what is smaller, and each row gives its row. Windows are those of the input.
@@ -16,7 +20,6 @@ are one document as to what is smaller, and each row gives its row. Windows are
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +27,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from paneloom.llm.shared import by_value, cut, small_batches
+from paneloom.llm.shared import by_value, cut, drop_cut, small_batches
 
 by_value(__name__)
 
 SPAN, GRAM, SHARD = 13, 5, 5000
+#: Rows that a task hands back at once.
+CHUNK = 5000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -152,51 +156,79 @@ def _stream(rows: Iterator[tuple], span: int) -> Iterator[tuple[int, str, list]]
         yield from flush()
 
 
-def _pieces(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(id, h, anchor): the distinct anchors of each document."""
+def _anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """(id, anchor): the distinct anchors of each row that has an id."""
 
     def run(batches):
         for b in batches:
-            ids, hs, found = [], [], []
-            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                a = np.unique(anchors(words_of(t.as_py()), span, gram)[2]) if i is not None else np.zeros(0, dtype=np.int64)
-                ids.append(np.full(len(a), i or 0, dtype=np.int64))
-                hs.append(np.full(len(a), h, dtype=np.int64))
+            ids, found = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                a = np.unique(anchors(words_of(t.as_py()), span, gram)[2])
+                ids.append(np.full(len(a), i, dtype=np.int64))
                 found.append(a)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hs, found)], ["id", "h", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], ["id", "anchor"])
+
+    return docs.where("id is not null").select("id", "text").mapInArrow(run, "id long, anchor long")
 
-    return docs.mapInArrow(run, "id long, h long, anchor long")
 
+def key_of(piece: bytes) -> int:
+    return xxhash.xxh64_intdigest(piece, 42) - (1 << 63)
 
-def _cut_pieces(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """Documents with the list of their shared anchors -> those pieces; documents without keep no text, only their digest."""
-    piece = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int64()), ("piece", pa.string())]))
+
+def _pieces(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """(id, h, text, shared) -> (id, h, anchor, start, key, piece): the pieces around the shared anchors, row by row."""
+    names = ["id", "h", "anchor", "start", "key", "piece"]
+    kinds = [pa.int64()] * 5 + [pa.string()]
 
     def run(batches):
+        out = []
         for b in batches:
-            n, sha, texts, pieces = [], [], [], []
-            for t, shared in zip(b.column(2), b.column(3), strict=True):
-                text, shared = t.as_py(), shared.as_py()
-                words = words_of(text)
-                n.append(len(words))
-                if not shared:
-                    sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    texts.append(None)
-                    pieces.append(None)
-                    continue
-                a, e, x = anchors(words, span, gram)
-                keep = np.isin(x, np.array(shared, dtype=np.int64))
-                sha.append(None)
-                texts.append(text)
-                pieces.append([{"anchor": k, "start": i, "piece": b" ".join(words[i : j + span]).decode("utf-8", "surrogatepass")} for i, j, k in zip(a[keep].tolist(), e[keep].tolist(), x[keep].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string()), pa.array(pieces, piece)], ["id", "h", "n_words", "sha", "text", "pieces"])
+            for i, h, t, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                words = words_of(t.as_py())
+                first, last, x = anchors(words, span, gram)
+                keep = np.isin(x, shared.values.to_numpy())
+                for s, e, k in zip(first[keep].tolist(), last[keep].tolist(), x[keep].tolist(), strict=True):
+                    piece = b" ".join(words[s : e + span])
+                    out.append((i, h, k, s, key_of(piece), piece.decode("utf-8", "surrogatepass")))
+                    if len(out) == CHUNK:
+                        yield batch(out)
+                        out = []
+        if out:
+            yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return docs.mapInArrow(run, "id long, h long, anchor long, start long, key long, piece string")
+
+
+def _earliest(dealt: DataFrame, span: int) -> DataFrame:
+    """(anchor, shard, builds, first, piece), by anchor and shard -> (anchor, key, earliest): ids by window, once for each shard that a piece meets."""
+
+    def run(batches):
+        def each():
+            for b in batches:
+                yield from zip(*[b.column(i).to_pylist() for i in range(5)], strict=True)
+
+        out = []
+        for x in _stream(((r[0], r[1], *r[2:]) for r in each()), span):
+            out.append(x)
+            if len(out) == CHUNK:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
 
-    return docs.mapInArrow(run, "id long, h long, n_words long, sha string, text string, pieces array<struct<anchor:long,start:long,piece:string>>")
+    def batch(out):
+        keys = [key_of(p.encode("utf-8", "surrogatepass")) for _, p, _ in out]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in out], pa.int64()), pa.array(keys, pa.int64()), pa.array([m for _, _, m in out], pa.list_(pa.int64()))], ["anchor", "key", "earliest"])
+
+    return dealt.mapInArrow(run, "anchor long, key long, earliest array<long>")
 
 
 def _remove(docs: DataFrame, span: int) -> DataFrame:
-    """(id, n_words, text, starts) -> what is left without the words that windows at `starts` cover."""
+    """(id, text, starts) -> what is left without the words that windows at `starts` cover."""
 
     def run(batches):
         for b in batches:
@@ -220,21 +252,16 @@ def _remove(docs: DataFrame, span: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256, kept_text): one row per row of docs.
-
-    kept_text is null for documents that share no anchor with another: nothing of them is removed, and
-    their kept words are all their words.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
-    by_anchor = W.partitionBy("anchor")
-    met = _pieces(rows, span, gram).withColumn("low", F.min("id").over(by_anchor)).withColumn("high", F.max("id").over(by_anchor))
-    shared = met.where("low < high").groupBy("id", "h").agg(F.collect_set("anchor").alias("shared")).withColumnsRenamed({"id": "sid", "h": "sh"})
-    joined = rows.join(shared, (F.col("id") == F.col("sid")) & (F.col("h") == F.col("sh")), "left").select("id", "h", "text", "shared")
-    table = cut(_cut_pieces(joined, span, gram), "pieces")
+def repeated_windows(rows: DataFrame, span: int = SPAN, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """(id, h, text) -> (id, h, starts): of the rows that lose any, the starts of windows that a smaller id has, as a written table."""
+    found = cut(_anchors(rows, span, gram), "anchors")
+    # summed within the map tasks first: a common anchor is one row a task when it is shuffled
+    common = cut(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "common")
+    shared = cut(found.join(common, "anchor").groupBy(F.col("id").alias("sid")).agg(F.collect_set("anchor").alias("shared")), "shared")
+    drop_cut(found, common)
+    placed = cut(_pieces(rows.join(shared, F.col("id") == F.col("sid")).select("id", "h", "text", "shared"), span, gram), "pieces")
+    drop_cut(shared)
 
-    placed = table.where("pieces is not null").select("id", "h", F.explode("pieces").alias("p")).select("id", "h", "p.anchor", "p.start", "p.piece")
     distinct = cut(placed.groupBy("anchor", "piece").agg(F.min("id").alias("first")), "distinct")
     # anchors with more pieces than a shard holds; written first, so that the planner knows how few they are
     sizes = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard), "sizes")
@@ -242,31 +269,19 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = distinct.join(sizes, "anchor", "left").withColumn("shards", shards).withColumn("own", F.pmod(F.hash("piece"), F.col("shards")))
     dealt = dealt.select("anchor", "first", "piece", "own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).select("anchor", "shard", (F.col("shard") == F.col("own")).alias("builds"), "first", "piece")
     ordered = dealt.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", F.desc("builds"), "first")
+    earliest = cut(_earliest(ordered, span), "earliest")
+    drop_cut(distinct, sizes)
 
-    def run(batches):
-        def each():
-            for b in batches:
-                yield from zip(*[b.column(i).to_pylist() for i in range(5)], strict=True)
+    lost = F.filter(F.transform("earliest", lambda m, j: F.when(m < F.col("id"), F.col("start") + j)), lambda x: x.isNotNull())
+    hits = placed.drop("piece").join(earliest, ["anchor", "key"]).select("id", "h", lost.alias("starts")).where(F.size("starts") > 0)
+    out = cut(hits.groupBy("id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
+    drop_cut(placed, earliest)
+    return out
 
-        out = []
-        for x in _stream(((r[0], r[1], *r[2:]) for r in each()), span):
-            out.append(x)
-            if len(out) == 5000:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
 
-    def batch(out):
-        keys = pa.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 42) - (1 << 63) for _, p, _ in out], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in out], pa.int64()), keys, pa.array([m for _, _, m in out], pa.list_(pa.int64()))], ["anchor", "key", "earliest"])
-
-    earliest = ordered.mapInArrow(run, "anchor long, key long, earliest array<long>")
-    key = F.xxhash64("piece").bitwiseXOR(F.lit(-(1 << 63)))
-    occurrences = placed.select("id", "h", "anchor", "start", key.alias("key"))
-    hits = occurrences.join(earliest, ["anchor", "key"]).select("id", "h", F.filter(F.transform("earliest", lambda m, j: F.when(m < F.col("id"), F.col("start") + j)), lambda x: x.isNotNull()).alias("starts")).where(F.size("starts") > 0)
-    by_doc = hits.groupBy("id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts")).withColumnsRenamed({"id": "sid", "h": "sh"})
-    again = table.where("text is not null").join(by_doc, (F.col("id") == F.col("sid")) & (F.col("h") == F.col("sh")), "left").select("id", "text", "starts")
-    changed = _remove(again, span).select("id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
-    same = table.where("text is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    return same.unionByName(changed)
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """(id, n_words, n_removed, kept_text): one row per row of docs; kept_text holds the words that stay, joined by a space."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
+    starts = repeated_windows(rows, span, gram, shard).withColumnsRenamed({"id": "sid", "h": "sh"})
+    return _remove(rows.join(starts, (F.col("id") == F.col("sid")) & (F.col("h") == F.col("sh")), "left").select("id", "text", "starts"), span)

@@ -1,6 +1,5 @@
 """Each operator against a plain version, over edge cases and empty tables."""
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -230,9 +229,9 @@ def test_substrings(edge, none):
     for i, w in rows:
         gone = {p for j in range(len(w) - 12) if i is not None and first[tuple(w[j : j + 13])] < i for p in range(j, j + 13)}
         kept = [x for p, x in enumerate(w) if p not in gone]
-        want[(i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())] += 1
+        want[(i, len(w), len(gone), " ".join(kept))] += 1
     for shard in (5000, 1):
-        assert Counter((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.drop_repeated_spans(edge, shard=shard).collect()) == want
+        assert Counter((r.id, r.n_words, r.n_removed, r.kept_text) for r in substrings.drop_repeated_spans(edge, shard=shard).collect()) == want
     assert substrings.drop_repeated_spans(none).count() == 0
 
 
