@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with every column computed once a row, here: Catalyst doesn't move expressions over a generator.
+
+    Without it, long expressions over long expressions are put into each other and run again for each
+    element of an array.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def strip_markup(html: Column) -> Column:
     """Scripts, styles, comments and tags become spaces, and runs of white space one."""
     bare = F.regexp_replace(html, "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")

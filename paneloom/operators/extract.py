@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.functions import judgments, parties
-from paneloom.functions.text import normalized
+from paneloom.functions.text import normalized, settled
 
 
 def segmented(docs: DataFrame, text: str = "judgment") -> DataFrame:
@@ -15,16 +15,17 @@ def segmented(docs: DataFrame, text: str = "judgment") -> DataFrame:
     The markers are sought once a document, and all later expressions read plain columns.
     """
     rows = docs.select("doc_id", F.col("judged").cast("date").alias("judged"), normalized(F.coalesce(F.col(text), F.lit(""))).alias("text")).withColumn("spans", judgments.spans(F.col("text")))
+    rows = settled(rows)
     for k in judgments.SEGMENTS:
         rows = rows.withColumn(k, judgments.segment(F.col("text"), F.col("spans")[k]))
     ends = F.coalesce(F.col("spans.header.end"), F.lit(0))
     starts = F.array_min(F.filter(F.array(*[F.col(f"spans.{k}.start") for k in judgments.SEGMENTS[1:]]), lambda s: s >= ends))
-    return rows.withColumn("procedural", F.coalesce(F.substring("text", ends + 1, starts - ends), F.lit("")))
+    return settled(rows.withColumn("procedural", F.coalesce(F.substring("text", ends + 1, starts - ends), F.lit(""))))
 
 
 def defendants(rows: DataFrame) -> DataFrame:
     """One row a defendant, with charges, penalty and what is derived from them."""
-    found = parties.parties(rows).select("doc_id", "dup_pseudonym", "n_verdict_items", F.explode("parties").alias("p")).select("doc_id", "dup_pseudonym", "n_verdict_items", "p.*")
+    found = settled(parties.parties(rows))
     share = F.col("verdict_share")
     found = found.withColumn("charges", F.coalesce(judgments.charges(share), F.array().cast("array<string>"))).withColumn("penalty", F.when(share.isNotNull(), judgments.penalty(share))).select("*", "penalty.*").drop("penalty", "verdict_share")
     outlier, ctrl = judgments.capped(F.col("fine_yuan"))
@@ -52,3 +53,18 @@ def documents(rows: DataFrame) -> DataFrame:
         "procedure", speedy.alias("speedy"), (F.col("plea_formal") | F.col("jiejie") | speedy).alias("leniency_proc"), pre.contains("组成合议庭").alias("panel_trial"), counsel.alias("counsel"), kind.alias("counsel_type"),
         *judgments.flags(F.lit(""), seg),
     )
+
+
+def whole_documents(rows: DataFrame) -> DataFrame:
+    """documents() with what follows from the defendants: their number, all charges in order, the main one, accomplices."""
+    parties_ = defendants(rows).select("doc_id", "def_idx", "charges", "dup_pseudonym", "n_verdict_items")
+    # the defendants of one document
+    found = parties_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_defendants"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("def_idx", "charges"))), lambda x: x["charges"]))).alias("_theirs"), F.bool_or("dup_pseudonym").alias("dup_pseudonym"), F.max("n_verdict_items").alias("n_verdict_items"))
+    verdict = parties.verdict_text(F.coalesce("verdict", F.lit("")))
+    body = F.concat(F.coalesce(F.nullif(F.col("facts"), F.lit("")), "charge", F.lit("")), F.coalesce("reasoning", F.lit("")))
+    own = rows.select("doc_id", judgments.charges(verdict).alias("_verdicts"), body.rlike("伙同|共同犯罪|结伙|另案处理|另案").alias("_together"))
+    out = documents(rows).join(own, "doc_id").join(found, "doc_id", "left")
+    charges = F.coalesce("_theirs", "_verdicts")
+    out = out.withColumn("n_defendants", F.coalesce("n_defendants", F.lit(0))).withColumn("charges_all", charges).withColumn("dup_pseudonym", F.coalesce("dup_pseudonym", F.lit(False)))
+    out = out.withColumn("is_theft", F.exists("charges_all", lambda c: c.contains("盗窃"))).withColumn("is_robbery", F.array_contains("charges_all", "抢劫罪")).withColumn("charge_main", F.get("charges_all", F.lit(0)))
+    return out.withColumn("accomplice", (F.col("n_defendants") > 1) | F.col("_together")).drop("_theirs", "_verdicts", "_together")
