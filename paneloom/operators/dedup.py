@@ -21,9 +21,22 @@ def exact_duplicates(df: DataFrame, text: str, key: str = "doc_id") -> DataFrame
     return rows.join(first, "_h").withColumn("dup_exact", F.col(key) != F.col("_first")).drop("_h", "_first")
 
 
-def keep_longest(df: DataFrame, groups: Sequence[str], order: Sequence[Column], flag: str = "dup_group") -> DataFrame:
-    """flag: not the first of its group in the given order; rows with null keys are one group."""
-    return df.withColumn(flag, F.row_number().over(W.partitionBy(*groups).orderBy(*order)) > 1)
+#: Parts that the rows of one group are dealt to before its first row is sought.
+PARTS = 64
+
+
+def keep_longest(df: DataFrame, groups: Sequence[str], order: Sequence[Column], flag: str = "dup_group", spread: str | None = None) -> DataFrame:
+    """flag: not the first of its group in the given order; rows with null keys are one group.
+
+    spread, a column that varies within groups, deals a large group (as that of the nulls) to PARTS
+    parts; only the first row of each is compared with those of the others.
+    """
+    if spread is None:
+        return df.withColumn(flag, F.row_number().over(W.partitionBy(*groups).orderBy(*order)) > 1)
+    rows = df.withColumn("_part", F.pmod(F.hash(spread), F.lit(PARTS)) + 1)
+    rows = rows.withColumn("_part", F.when(F.row_number().over(W.partitionBy(*groups, "_part").orderBy(*order)) == 1, 0).otherwise(F.col("_part")))
+    first = F.row_number().over(W.partitionBy(*groups, "_part").orderBy(*order)) == 1
+    return rows.withColumn(flag, ~(first & (F.col("_part") == 0))).drop("_part")
 
 
 def flow(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from paneloom.sources.tables import dense_ids
+
 
 def draw(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))
@@ -44,8 +46,43 @@ def blind_order(seed: int, key: Column, field: Column) -> Column:
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str, pattern: str = "a%03d") -> DataFrame:
-    """Running names in the given order; for samples."""
-    return df.withColumn(name, F.format_string(pattern, F.row_number().over(W.orderBy(*order))))
+    """Running names, from 1 on, in the given order."""
+    return dense_ids(df, order, "_n").withColumn(name, F.format_string(pattern, F.col("_n") + 1)).drop("_n")
+
+
+def excluding(df: DataFrame, *drawn: DataFrame, key: str) -> DataFrame:
+    """Rows that no earlier draw holds."""
+    for d in drawn:
+        df = df.join(d.select(key), key, "left_anti")
+    return df
+
+
+def supplement(pool: DataFrame, drawn: DataFrame, n: int, seed: int | str, key: str) -> DataFrame:
+    """n rows of a population, in drawn order, of those not drawn yet; weight is the population's size by n."""
+    size = pool.agg(F.count(F.lit(1)).alias("_size"))  # one row
+    picked = excluding(pool, drawn, key=key).orderBy(draw(seed, F.col(key)), key).limit(n)
+    return picked.crossJoin(size).withColumn("weight", F.col("_size") / n).drop("_size")
+
+
+def two_phase(main: DataFrame, second: DataFrame, stratum: str, key: str) -> DataFrame:
+    """second with p_second (among the stratum's first-phase rows) and p_total (among its whole population).
+
+    main: key, stratum, stratum_size; second holds some of its keys.
+    """
+    n_main = main.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n1"), F.first("stratum_size").alias("_size"))
+    n_second = second.join(main.select(key, stratum), key).groupBy(stratum).agg(F.count(F.lit(1)).alias("_n2"))
+    p = n_main.join(n_second, stratum).select(stratum, (F.col("_n2") / F.col("_n1")).alias("p_second"), (F.col("_n2") / F.col("_size")).alias("p_total"))
+    return second.join(main.select(key, stratum), key).join(p, stratum)
+
+
+def frame(rows: DataFrame, day: Column, cuts: list[tuple[str, str]], last: str, treated: Column, overlaps: dict[str, Column]) -> DataFrame:
+    """rows with period, stratum (period and treatment) and the flags of overlapping populations."""
+    from paneloom.operators.design import period
+
+    rows = rows.withColumn("period", period(day, cuts, last)).withColumn("stratum", F.concat(F.col("period"), F.when(treated, "_pilot").otherwise("_nonpilot")))
+    for name, c in overlaps.items():
+        rows = rows.withColumn(name, F.coalesce(c, F.lit(False)))
+    return rows
 
 
 def violations(main: DataFrame, other: DataFrame, frame: DataFrame, key: str) -> DataFrame:

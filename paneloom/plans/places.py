@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneloom.functions import places
+from paneloom.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -60,3 +61,70 @@ SELECT code, max(CASE WHEN pos IN (SELECT code FROM ok) THEN pos END) AS code_no
     "place_resolve": f"SELECT CAST(id AS BIGINT) AS id, CAST(province AS VARCHAR) AS province, CAST(prefecture AS VARCHAR) AS prefecture, status FROM (VALUES {_values([(i, *r[2:]) for i, r in enumerate(PLACES)])}) AS t(id, province, prefecture, status)",
     "origin_migrant": f"SELECT CAST(id AS BIGINT) AS id, CAST(by_city AS BOOLEAN) AS by_city, CAST(by_province AS BOOLEAN) AS by_province FROM (VALUES {_values([(i, *r[4:]) for i, r in enumerate(ORIGINS)])}) AS t(id, by_city, by_province)",
 }
+
+
+CITY_CASES = [("合肥市", "安徽省", "某法院", "合肥市", "prefecture"), (None, "北京市", "某法院", "北京市", "municipality"), (None, "安徽省", "安徽省合肥市某区人民法院", "合肥市", "court_name"), (None, None, "北京市朝阳区人民法院", "北京市", "court_name"), (None, "河南省", "灵宝市人民法院", "unresolved", "unresolved"), (None, None, None, "unresolved", "unresolved")]
+
+
+def _by_key(spark, d, cases, columns, n):
+    """Each customer with the inputs of the case that its key falls on."""
+    one = spark.createDataFrame([(i, *c[:n]) for i, c in enumerate(cases)], "i long, " + ", ".join(f"{x} string" for x in columns))
+    return table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(cases)).alias("i")).join(one, "i").drop("i")
+
+
+def _expected(cases, names, n):
+    rows = _values([(i, *c[n:]) for i, c in enumerate(cases)])
+    return f"SELECT c_custkey, {', '.join(f'CAST({x} AS VARCHAR) AS {x}' for x in names)} FROM customer JOIN (VALUES {rows}) AS t(i, {', '.join(names)}) ON c_custkey % {len(cases)} = i"
+
+
+def court_city_cascade(spark, d):
+    return places.court_cities(_by_key(spark, d, CITY_CASES, ("prefecture", "province", "court_name"), 3)).select("c_custkey", "court_city", "court_city_source")
+
+
+PREFECTURES = [("合肥市", "安徽省"), ("朝阳市", "辽宁省"), ("吉林市", "吉林省"), ("海南藏族自治州", "青海省"), ("", "x"), (None, "y")]
+NAMED = [("江苏省某县", "江苏省"), ("合肥市某区", "安徽省"), ("合肥某区", "安徽省"), ("朝阳区", None), ("朝阳某村", "辽宁省"), ("吉林市船营区", "吉林省"), ("海南藏族自治州某县", "青海省"), ("海南某县", None), ("海南省某县", "海南省"), ("广西某县", "广西壮族自治区"), ("新疆某县", "新疆维吾尔自治区"), ("：本县某村", "LOCAL"), ("某村", None), ("京", None), ("", None), (None, None)]
+
+
+def province_named(spark, d):
+    prefectures = spark.createDataFrame(PREFECTURES, "prefecture string, province string")
+    return places.provinces_of(_by_key(spark, d, NAMED, ("raw",), 1), prefectures).select("c_custkey", "province_named")
+
+
+COURTS = [
+    ("北京市", None, "北京市", "某法院", "北京市"), ("襄樊市", "420600", "湖北省", "某法院", "襄阳市"), ("合肥市", None, "安徽省", "某法院", "合肥市"), ("unresolved", "320800.0", "江苏省", "某法院", "淮安市"), ("unresolved", None, "湖北省", "湖北省利川市人民法院", "恩施土家族苗族自治州"), ("unresolved", None, "吉林省", "朝阳区人民法院", "长春市"),
+    ("unresolved", None, None, "朝阳区人民法院", None), ("巢湖市", "341400", "安徽省", "某法院", "合肥市"), ("unresolved", "x", None, None, None),
+]
+
+
+def court_prefecture_cascade(spark, d):
+    gazetteer = places.build(_records(spark), 2016, (2010, 2020))
+    return places.court_prefectures(_by_key(spark, d, COURTS, ("court_city", "prefecture_code", "province", "court_name"), 4), gazetteer).select("c_custkey", "court_prefecture")
+
+
+def prefecture_mode(spark, d):
+    cases = table(spark, d, "customer").select(F.concat(F.lit("p"), (F.col("c_nationkey") % 7).cast("string")).alias("prefecture"), F.col("c_mktsegment").alias("province"))
+    return places.prefecture_provinces(cases)
+
+
+LABELLED = [("江苏省淮安市盱眙县", "1", "0"), ("安徽省巢湖市", "0", "1"), ("本市", "0", "1"), ("XXX", "NA", "NA"), ("NA", "NA", "NA"), (None, "NA", "NA")]
+
+
+def place_labels(spark, d):
+    """What answered places say: an origin elsewhere, a residence here; the court is in 安徽省合肥市."""
+    from paneloom.operators import labels
+
+    rows = _by_key(spark, d, LABELLED, ("value",), 1)
+    courts = rows.select("c_custkey", F.lit("安徽省").alias("court_province"), F.lit("合肥市").alias("court_prefecture"))
+    both = rows.withColumn("field", F.explode(F.array(F.lit("origin_text"), F.lit("residence_text"))))
+    found = labels.placed_answers(both, courts, places.build(_records(spark), 2016, (2010, 2020)), "c_custkey")
+    return found.groupBy("c_custkey").pivot("field", ["origin_text", "residence_text"]).agg(F.first("label"))
+
+
+QUERIES |= {"court_city_cascade": court_city_cascade, "province_named": province_named, "court_prefecture_cascade": court_prefecture_cascade, "prefecture_mode": prefecture_mode, "place_labels": place_labels}
+ORACLES |= {
+    "court_city_cascade": _expected(CITY_CASES, ("court_city", "court_city_source"), 3),
+    "province_named": _expected(NAMED, ("province_named",), 1),
+    "court_prefecture_cascade": _expected(COURTS, ("court_prefecture",), 4),
+    "prefecture_mode": "SELECT prefecture, province FROM (SELECT 'p' || (c_nationkey % 7) AS prefecture, c_mktsegment AS province, row_number() OVER (PARTITION BY c_nationkey % 7 ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY c_nationkey % 7, c_mktsegment) WHERE r = 1",
+    "place_labels": _expected(LABELLED, ("origin_text", "residence_text"), 1),
+}

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.plans import estimates, literal, places, relational
+from paneloom.plans import cases, estimates, literal, places, relational, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {**relational.QUERIES, **literal.QUERIES, **estimates.QUERIES, **places.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES, **literal.ORACLES, **estimates.ORACLES, **places.ORACLES}
+QUERIES: dict[str, Query] = {**relational.QUERIES, **literal.QUERIES, **estimates.QUERIES, **places.QUERIES, **cases.QUERIES, **storage.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **literal.ORACLES, **estimates.ORACLES, **places.ORACLES, **cases.ORACLES, **storage.ORACLES}

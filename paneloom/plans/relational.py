@@ -62,7 +62,7 @@ def scan_empty_ids(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n, sum(dup::INT)::BIGINT AS n_dup, max(CASE WHEN NOT dup THEN l_extendedprice END) AS kept_price FROM (
 SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_shipdate) > 1 AS dup FROM lineitem) GROUP BY 1, 2""")
 def dup_flags(spark, d):
-    rows = dedup.keep_longest(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.desc("l_extendedprice"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_shipdate")], "dup")
+    rows = dedup.keep_longest(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.desc("l_extendedprice"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_shipdate")], "dup", "l_partkey")
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dup").cast("long")).alias("n_dup"), F.max(F.when(~F.col("dup"), F.col("l_extendedprice"))).alias("kept_price"))
 
 

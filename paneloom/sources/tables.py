@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from paneloom.sources.scratch import staged
+
 DOCS_TEXT = T.StructType(
     [T.StructField("doc_id", T.LongType(), False)]
     + [T.StructField(c, T.StringType()) for c in ("case_number", "court_name", "judgment_date", "formatted_datetime", "incident_time", "case_type_raw", "details", "judgment")]
@@ -36,9 +38,24 @@ def multi_get(df: DataFrame, ids: Sequence[int] | DataFrame, columns: Sequence[s
     return found.select(key, *[c for c in columns if c != key]).orderBy(key)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None, header: bool = True) -> DataFrame:
-    """Quoted fields may hold line ends and doubled quotes; a byte order mark before the first name is dropped."""
-    df = spark.read.csv(path, schema=schema, header=header, multiLine=True, escape='"', enforceSchema=True)
+#: What a table's files must be of to be views.
+TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
+
+
+def register_views(spark: SparkSession, sf_dir: str, names: Sequence[str] = TABLES) -> None:
+    """Each table as a temporary view, for spark.sql()."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: Sequence[str] | None = None, header: bool = True) -> DataFrame:
+    """Quoted fields may hold line ends and doubled quotes; kinds are inferred where no schema is given.
+
+    A byte order mark before the first name isn't part of it.
+    """
+    kinds = {"schema": schema, "enforceSchema": True} if schema else {"inferSchema": True}
+    df = spark.read.csv(path, header=header, multiLine=True, escape='"', **kinds)
+    df = df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
     return df.select(*columns) if columns else df
 
 
@@ -48,22 +65,53 @@ def write_sorted(df: DataFrame, path: str, key: str = "doc_id", mode: str = "ove
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """One CSV file with a header; for aggregates of a few rows."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file with a header; for aggregates of a few rows. Quotes are doubled, as read_csv expects."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_records(df: DataFrame, path: str, partition: str = "model") -> None:
+    """JSON lines, a folder for each value of `partition`."""
     df.write.mode("append").partitionBy(partition).json(path)
 
 
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What write_records wrote; a line that isn't JSON is a row of nulls."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Every column but those of `keep` with a prefix."""
+    return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def _ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Written, as the bounds of range partitions are sampled anew whenever a plan runs."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    return staged(ranged, "ranged")
+
+
+def running_total(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """name: the sum of `value` over all rows up to this one; range partitions are summed within, and shifted by the sums before them."""
+    ranged = _ranged(df, order)
+    within = ranged.withColumn("_run", F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    # one row a partition
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_shift") + F.col("_run")).drop("_part", "_run", "_shift")
+
+
 def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str = "doc_id") -> DataFrame:
     """Ids 0..n-1 in the given order: range partitions are numbered within, and shifted by the counts before them."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    within = _ranged(df, order).withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     before = within.groupBy("_part").count().withColumn("_shift", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return within.join(F.broadcast(before.select("_part", "_shift")), "_part").withColumn(name, F.col("_shift") + F.col("_row") - 1).drop("_part", "_row", "_shift")
 
 
+def zipped(left: DataFrame, right: DataFrame, order_left: Sequence[Column | str], order_right: Sequence[Column | str]) -> DataFrame:
+    """Rows at the same place in either order, side by side, as far as the shorter one goes; the columns' names must differ."""
+    return dense_ids(left, order_left, "_at").join(dense_ids(right, order_right, "_at"), "_at").drop("_at")
+
+
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The last row of each key in the given order."""
     w = W.partitionBy(*keys).orderBy(*[F.col(o).desc_nulls_last() if isinstance(o, str) else o for o in order])
