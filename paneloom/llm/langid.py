@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paneloom.llm.shared import by_value, small_batches
+from paneloom.llm.shared import by_value, opened, shipped, small_batches
 
 by_value(__name__)
 
@@ -124,10 +124,10 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     """(id, lang_pred, score): one row per row of docs; learns from `train`, which has the labels."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(Model(training_pairs(train, id_col, text_col, lang_col, docs_per_language)))
+    model = shipped(spark, Model(training_pairs(train, id_col, text_col, lang_col, docs_per_language)))
 
     def run(batches):
-        known = model.value
+        known = opened(model)
         rows = known.rows = known.rows or Rows(known)  # tasks of one process share what they have met
         for b in batches:
             got = [known.predict(t.as_py(), rows) for t in b.column(1)]

@@ -1,20 +1,20 @@
-"""What several operators need: written tables that cut lineage, size checks, fixed text rules."""
+"""What several operators need: size checks, fixed text rules, and the written tables that cut lineage."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import getpass
-import re
+import pickle
 import sys
-import tempfile
-import uuid
-from collections.abc import Iterable
 
-from pyspark import SparkContext, cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paneloom.sources.scratch import drop as drop_cut
+from paneloom.sources.scratch import here, sweep
+from paneloom.sources.scratch import staged as cut
+
+__all__ = ["ascii_lower", "cut", "drop_cut", "fold_of", "here", "maybe_broadcast", "opened", "shipped", "small_batches", "small_enough", "sweep"]
+
 #: Characters that separate words of white-space rules: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,71 +30,21 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def shipped(spark: SparkSession, model: object) -> Broadcast:
+    """A model for the tasks, with its code, so that executors need no copy of the package; opened() gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of this machine serves only a local master for which none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.gettempdir()}/paneloom-{getpass.getuser()}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/paneloom/{spark.sparkContext.applicationId}"
-
-
-#: Shuffle files of a query go when it ends; a retried stage makes them anew.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Tables that cut() has written and nothing has deleted yet.
-_written: list[str] = []
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: short lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
-        _written.append(path)
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-def drop_cut(*tables: DataFrame) -> None:
-    """Delete what cut() wrote, once nothing will read it again."""
-    for df in tables:
-        path = getattr(df, "_cut_path", None)
-        if path in _written:
-            _written.remove(path)
-            _delete(df.sparkSession, path)
-
-
-def sweep(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
-    """Delete every table that cut() has left but those of `keep`; results that still read one must be written before."""
-    kept = {getattr(df, "_cut_path", None) for df in keep}
-    for path in [p for p in _written if p not in kept]:
-        _written.remove(path)
-        _delete(spark, path)
-
-
-@atexit.register
-def _sweep_at_exit() -> None:
-    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context is not None else None
-    if spark is not None:
-        with contextlib.suppress(Exception):
-            sweep(spark)
+def opened(model: Broadcast) -> object:
+    """The model, opened once a process."""
+    found = getattr(model, "_opened", None)
+    if found is None:
+        found = model._opened = pickle.loads(model.value)
+    return found
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def ascii_lower(c: Column) -> Column:
