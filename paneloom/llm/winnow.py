@@ -8,8 +8,9 @@ which are compared word by word (as hashes). Items shorter than `span` are one w
 words; for each such length the documents' grams of that length are joined. Only DataFrame functions
 are used.
 
-Null texts have no words; items without words never occur. Rows of one id are one document: their
-hits and items are those of all its rows. Null ids form one document.
+A passage that many items share is kept once: windows carry the number of the set of items that hold
+them, and sets are laid out only for documents that hold one. Null texts have no words; items without
+words never occur. Every row of the documents gives one row; rows of one id and text are looked at once.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.shared import ascii_lower, cut, maybe_broadcast, small_enough
+from paneloom.llm.shared import ascii_lower, cut, maybe_broadcast
 
 #: What stands between words: every ASCII character but digits and lower-case letters.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 SPAN, GRAM = 8, 4
-BITMAP_BITS = 18
+#: The bitmap has 16 bits a fingerprint of the items, within 2 to the power of these; where that is too few it passes more, and nothing is lost.
+LEAST_BITS, MOST_BITS = 18, 22
 #: The items' fingerprints are broadcast up to so many rows (some 100 MB), and shuffled beyond.
 BROADCAST_ROWS = 500_000
 
@@ -63,28 +65,31 @@ def _around(words: Column, place: Column, span: int, gram: int) -> Column:
     return F.struct(place.alias("place"), *[F.when(place + j >= 0, F.get(words, place + j)).alias(f"w{j + span - gram}") for j in range(gram - span, span)])
 
 
-def fingerprints(rows: DataFrame, keys: list[str], span: int, wanted: Column | None = None, outer: bool = False) -> DataFrame:
-    """keys, fp and `around` of every kept gram of the column `words`; with outer, rows without any have one row of nulls.
+def fingerprints(rows: DataFrame, keys: list[str], span: int, wanted: tuple[int, Column] | None = None, outer: bool = False) -> DataFrame:
+    """keys, fp and `around` of every kept gram of the column `words`; with outer, rows without any have one row of nulls, and one row each is marked `first`.
 
-    wanted, an array of 64-bit words, is a bitmap of the grams that matter: others are passed over
-    before it is asked whether they are kept, which changes nothing but the time.
+    wanted is a bitmap of the grams that matter: others are passed over before it is asked whether
+    they are kept, which changes nothing but the time.
     """
     rows = rows.select(*keys, "words", gram_hashes(F.col("words")).alias("_g")).withColumn("_n", F.greatest(F.size("words") - (GRAM - 1), F.lit(0)))
     kept = F.filter(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), lambda i: (F.col("_n") > 0) & (in_bitmap(wanted, F.get("_g", i)) if wanted is not None else F.lit(True)) & is_kept(F.col("_g"), F.col("_n"), i, span - GRAM + 1))
     prints = F.transform(kept, lambda i: F.struct(F.get("_g", i).alias("fp"), _around(F.col("words"), i, span, GRAM).alias("around")))
-    return rows.select(*keys, (F.explode_outer if outer else F.explode)(prints).alias("_k")).select(*keys, "_k.fp", "_k.around")
+    placed = rows.select(*keys, (F.posexplode_outer if outer else F.posexplode)(prints).alias("_at", "_k"))
+    return placed.select(*keys, "_k.fp", "_k.around", *([(F.coalesce("_at", F.lit(0)) == 0).alias("first")] if outer else []))
 
 
-def bitmap(prints: DataFrame) -> Column:
-    """The hashes' low bits as a bitmap of fixed size, 2 ** BITMAP_BITS bits whatever the number of items."""
-    words = prints.select(F.col("fp").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    found = dict(words.collect())  # at most 2 ** (BITMAP_BITS - 6) numbers
-    return F.lit([found.get(i, 0) for i in range(1 << (BITMAP_BITS - 6))]).cast("array<bigint>")
+def bitmap(prints: DataFrame) -> tuple[int, Column]:
+    """(bits of a place, the hashes' low bits as a bitmap)."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * prints.count()).bit_length()))
+    words = prints.select(F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    found = dict(words.collect())  # at most 2 ** (MOST_BITS - 6) numbers
+    return bits, F.lit([found.get(i, 0) for i in range(1 << (bits - 6))]).cast("array<bigint>")
 
 
-def in_bitmap(bits: Column, h: Column) -> Column:
-    low = h.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    return F.call_function("shiftright", F.get(bits, F.shiftright(low, 6).cast("int")), low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def in_bitmap(bitmap_: tuple[int, Column], h: Column) -> Column:
+    bits, words = bitmap_
+    low = h.bitwiseAND(F.lit((1 << bits) - 1))
+    return F.call_function("shiftright", F.get(words, F.shiftright(low, 6).cast("int")), low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def windows_of(around: Column, span: int, gram: int) -> Column:
@@ -92,37 +97,44 @@ def windows_of(around: Column, span: int, gram: int) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("before"), F.when(around[f"w{2 * span - gram - 1 - b}"].isNotNull() & around[f"w{span - gram - b}"].isNotNull(), F.xxhash64(*[around[f"w{span - gram - b + j}"] for j in range(span)])).alias("hash")) for b in range(span - gram + 1)])
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """(id, n_words, found): found has each occurrence of an item's window: start, len, item. One row per id."""
-    spark = docs.sparkSession
+def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """(id, h, n_words, copies, found) and (number, items).
+
+    One row per id and text, whose hash is h, with how many rows of docs it stands for; found has each
+    occurrence of an item's window: start, len and the number of the set of items that hold it.
+    """
     item_words = items.select(F.col(item_col).cast("string").alias("item"), word_hashes(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
-    doc_words = docs.select(F.col(id_col).cast("long").alias("id"), word_hashes(F.col(text_col)).alias("words")).withColumn("n_words", F.size("words").cast("long"))
-    long_items = cut(fingerprints(item_words.where(F.size("words") >= span), ["item"], span), "prints")
-    item_windows = long_items.select("fp", "item", F.explode(windows_of(F.col("around"), span, GRAM)).alias("w")).where("w.hash is not null").distinct()
-    by_print = item_windows.groupBy("fp").agg(F.collect_list(F.struct("item", F.col("w.before").alias("before"), F.col("w.hash").alias("hash"))).alias("theirs"))
-    kept = fingerprints(doc_words, ["id", "n_words"], span, bitmap(long_items), outer=True)
+    keys = ["id", "h", "n_words"]
+    doc_words = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"), word_hashes(F.col(text_col)).alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    prints = cut(fingerprints(item_words.where(F.size("words") >= span), ["item"], span), "prints")
+    long_windows = prints.select("fp", "item", F.explode(windows_of(F.col("around"), span, GRAM)).alias("w")).where("w.hash is not null").select("fp", F.col("w.before").alias("before"), F.col("w.hash").alias("hash"), F.lit(span).alias("len"), "item")
+    short_items = item_words.where(F.size("words") < span).select(F.lit(None).cast("long").alias("fp"), F.lit(0).alias("before"), F.xxhash64(F.array_join(F.transform("words", lambda x: x.cast("string")), " ")).alias("hash"), F.size("words").alias("len"), "item")
+    # a set is as large as the benchmark at most
+    windows = cut(long_windows.unionByName(short_items).groupBy("fp", "before", "hash", "len").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("number", F.xxhash64("items")), "windows")
+    sets = windows.select("number", "items").dropDuplicates(["number"])
+    by_print = windows.where("fp is not null").groupBy("fp").agg(F.collect_list(F.struct("before", "hash", "number")).alias("theirs"))
+    kept = fingerprints(doc_words, keys, span, bitmap(prints), outer=True)
     met = kept.join(maybe_broadcast(by_print, BROADCAST_ROWS), "fp", "left")
     ours = windows_of(F.col("around"), span, GRAM)
     found = F.filter(F.col("theirs"), lambda t: F.get(ours, t["before"])["hash"] == t["hash"])
-    starts = F.transform(found, lambda t: F.struct((F.col("around.place") - t["before"]).cast("long").alias("start"), F.lit(span).cast("long").alias("len"), t["item"].alias("item")))
-    rows = met.select("id", "n_words", F.when(F.col("theirs").isNotNull(), starts).alias("found"))
+    starts = F.transform(found, lambda t: F.struct((F.col("around.place") - t["before"]).cast("long").alias("start"), F.lit(span).cast("long").alias("len"), t["number"].alias("number")))
+    rows = met.select(*keys, "first", F.when(F.col("theirs").isNotNull(), starts).alias("found"))
 
-    short = item_words.where(F.size("words") < span).select("item", F.size("words").alias("len"), F.xxhash64(F.array_join(F.transform("words", lambda x: x.cast("string")), " ")).alias("hash"))
+    short = windows.where("fp is null").select("hash", "len", "number")
     lengths = sorted(r[0] for r in short.select("len").distinct().limit(span).collect())  # at most span - 1 numbers
     for n in lengths:
         grams = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("place"), F.xxhash64(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.get("words", i + j).cast("string")), " ")).alias("hash")))
-        placed = doc_words.where(F.size("words") >= n).select("id", "n_words", F.explode(grams).alias("g")).select("id", "n_words", "g.place", "g.hash")
-        there = short.where(F.col("len") == n)
-        there = F.broadcast(there) if small_enough(there, BROADCAST_ROWS) else there
-        rows = rows.unionByName(placed.join(there, "hash").select("id", "n_words", F.array(F.struct(F.col("place").cast("long").alias("start"), F.lit(n).cast("long").alias("len"), "item")).alias("found")))
-    empty = F.array().cast("array<struct<start:bigint,len:bigint,item:string>>")
-    with_hits = rows.groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(F.size("found") > 0, F.col("found"))).alias("found"))
-    return with_hits.select("id", "n_words", F.array_distinct(F.coalesce(F.flatten("found"), empty)).alias("found"))
+        placed = doc_words.where(F.size("words") >= n).select(*keys, F.explode(grams).alias("g")).select(*keys, "g.place", "g.hash")
+        there = maybe_broadcast(short.where(F.col("len") == n), BROADCAST_ROWS)
+        rows = rows.unionByName(placed.join(there, "hash").select(*keys, F.lit(False).alias("first"), F.array(F.struct(F.col("place").cast("long").alias("start"), F.lit(n).cast("long").alias("len"), "number")).alias("found")))
+    empty = F.array().cast("array<struct<start:bigint,len:bigint,number:bigint>>")
+    with_hits = rows.groupBy(*keys).agg(F.count_if("first").alias("copies"), F.collect_set(F.when(F.size("found") > 0, F.col("found"))).alias("found"))
+    return with_hits.select(*keys, "copies", F.array_distinct(F.coalesce(F.flatten("found"), empty)).alias("found")), sets
 
 
 def contamination(docs: DataFrame, items: DataFrame, min_items: int = 2, **names) -> DataFrame:
-    """(id, n_words, n_hit, items, contaminated, spans): one row per id; spans are the merged word ranges that are hit."""
-    found = hits(docs, items, **names)
+    """(id, h, n_words, n_hit, items, contaminated, spans): one row per row of docs; h is the hash of its text, spans are the merged word ranges that are hit."""
+    found, sets = hits(docs, items, **names)
     ordered = F.array_sort(F.array_distinct(F.transform("found", lambda f: F.struct(f["start"].alias("start"), (f["start"] + f["len"]).alias("end")))))
     spans = F.aggregate(
         ordered,
@@ -130,6 +142,15 @@ def contamination(docs: DataFrame, items: DataFrame, min_items: int = 2, **names
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
     )
     n_hit = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")), lambda a: a["n"])
-    items_ = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item"])))
-    out = found.select("id", "n_words", n_hit.alias("n_hit"), items_.alias("items"), spans.alias("spans"))
-    return out.withColumn("contaminated", F.size("items") >= min_items)
+    rows = cut(found.select("id", "h", "n_words", "copies", n_hit.alias("n_hit"), spans.alias("spans"), F.array_distinct(F.transform("found", lambda f: f["number"])).alias("numbers")), "hits")
+    theirs = rows.where(F.size("numbers") > 0).select("id", "h", F.explode("numbers").alias("number")).join(maybe_broadcast(sets, BROADCAST_ROWS), "number").groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = rows.join(theirs, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("id", "h", "n_words", "n_hit", "items", "spans", (F.size("items") >= min_items).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """The rows of docs, whole, that aren't contaminated. Few such rows are broadcast, so that no text is shuffled for them."""
+    found = contamination(docs, items, min_items, id_col=id_col, text_col=text_col, **names)
+    dirty = cut(found.where("contaminated").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct(), "dirty")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_h"))
+    return docs.join(maybe_broadcast(dirty, BROADCAST_ROWS), same, "left_anti")
