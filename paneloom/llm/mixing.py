@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paneloom.llm.shared import BLANKS
+from paneloom.llm.shared import BLANKS, cut
 
 #: Newton steps: the error squares with each near the solution, and far from it l moves by 1 a step.
 STEPS = 60
@@ -90,7 +90,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: fl
     keys = ["_src", "_size", "_group"]
     sized = base.withColumn("_size", word_count(F.col(text_col))).withColumn("_src", F.col(source_col).cast("string")).withColumn("_hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sized = sized.withColumn("_group", F.substring("_hash", 1, DEALT_DIGITS))
-    counts = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "counts")
     by_size = counts.groupBy(F.col("_src").alias("src"), F.col("_size").alias("size")).agg(F.sum("n").alias("n"))
     totals = by_size.groupBy(F.col("src").alias("source")).agg(F.sum(F.col("size") * F.col("n")).alias("tokens"))
     rates = balanced_rates(capped_targets(totals, weights, cap))
