@@ -1,14 +1,16 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines, and groups of GROUP_LINES lines in a row, every second half of a group a new one,
-for texts that are wrapped. A template is found in a block if the share of its distinct words that
-the block holds is at least `threshold`. The join orders words by how often they occur in the whole
-corpus, rarest first: a block that holds enough of a template must hold one of its first
-size - needed + 1 words (prefix filter), must have `needed` distinct words (length filter), and the
-words left behind the first shared one must suffice (positional filter). What passes is counted.
-Only templates of GROUP_FROM distinct words or more are looked for in groups of lines.
-
-Null and empty texts have no words and no labels. Repeated rows each give their row.
+Blocks are groups of consecutive lines, one starting at every line, so that wrapped texts are found:
+of LONG_LINES lines for templates of LONG_FROM distinct words or more, of SHORT_LINES for others. A
+template is found in a block if the share of its distinct words that the block holds is at least
+`threshold`. The join orders words by how often they occur in the whole corpus, rarest first: a block
+that holds enough of a template must hold one of its first size - needed + 1 words (prefix filter),
+must have `needed` distinct words (length filter), and the words left behind the first shared one must
+suffice (positional filter). What passes is counted. A block is reported by its lines from the first
+to the last that hold a word of the template, and each such place once.
+
+Templates are a table (label, text) or those of TEMPLATES; a label may have several. Null and empty
+texts have no words and no labels. Repeated rows each give their row.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.shared import by_value, small_batches
+from paneloom.llm.shared import by_value, opened, shipped, small_batches
 
 by_value(__name__)
 
-GROUP_LINES, GROUP_FROM, THRESHOLD = 8, 16, 0.8
+SHORT_LINES, LONG_LINES, LONG_FROM, THRESHOLD = 3, 8, 16, 0.8
+#: Templates that the driver takes at most; they are kept by every task.
+MOST_TEMPLATES = 20_000
 
 # fixed values: phrases and their labels
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -53,8 +57,14 @@ def folded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD)
 
 
-def template_words() -> dict[str, frozenset[bytes]]:
-    return {label: frozenset(folded(text).split()) for label, text in TEMPLATES}
+def template_words(templates: DataFrame | None = None) -> list[tuple[str, frozenset[bytes]]]:
+    """(label, distinct words) of each template that has any."""
+    rows = list(TEMPLATES)
+    if templates is not None:
+        rows = [tuple(r) for r in templates.select(F.col("label").cast("string"), F.col("text").cast("string")).where("label is not null").distinct().limit(MOST_TEMPLATES + 1).collect()]
+        if len(rows) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return sorted((label, words) for label, text in rows if (words := frozenset(folded(text).split())))
 
 
 def word_counts(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -74,33 +84,33 @@ def word_counts(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes]) ->
 class Index:
     """Prefix lists of the templates, in the order of the words' frequencies."""
 
-    def __init__(self, templates: dict[str, frozenset[bytes]], counts: dict[bytes, int], threshold: float):
-        order = {w: i for i, w in enumerate(sorted(set().union(*templates.values()), key=lambda w: (counts.get(w, 0), w)))}
-        self.rank = order
-        self.templates = []
+    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], counts: dict[bytes, int], threshold: float):
+        vocabulary = set().union(*[words for _, words in templates])
+        self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+        self.templates: list[tuple[str, frozenset[bytes], int, dict[bytes, int]]] = []
         self.prefix: dict[bytes, list[int]] = {}
-        for label, words in sorted(templates.items()):
-            ordered = sorted(words, key=order.__getitem__)
+        for label, words in sorted(templates, key=lambda t: (t[0], sorted(t[1]))):
+            ordered = sorted(words, key=self.rank.__getitem__)
             needed = math.ceil(threshold * len(ordered) - 1e-9)
             at = len(self.templates)
             self.templates.append((label, words, needed, {w: i for i, w in enumerate(ordered)}))
             for w in ordered[: len(ordered) - needed + 1]:
                 self.prefix.setdefault(w, []).append(at)
 
-    def found(self, words: set[bytes], least: int) -> list[tuple[str, float]]:
-        """(label, containment) of the templates of `least` words or more that a block holds."""
+    def found(self, words: set[bytes], least: int = 0, most: float = math.inf) -> list[tuple[int, float]]:
+        """(template, containment) of the templates of `least` to `most` words that a block holds."""
         out, tried = [], set()
         for w in sorted(words & self.prefix.keys(), key=self.rank.__getitem__):
             for at in self.prefix[w]:
                 if at in tried:
                     continue
                 tried.add(at)
-                label, own, needed, place = self.templates[at]
-                if len(own) < least or len(words) < needed or len(own) - place[w] < needed:
+                _, own, needed, place = self.templates[at]
+                if not least <= len(own) <= most or len(words) < needed or len(own) - place[w] < needed:
                     continue
                 shared = len(own & words)
                 if shared >= needed:
-                    out.append((label, shared / len(own)))
+                    out.append((at, shared / len(own)))
         return out
 
 
@@ -121,33 +131,43 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+def block_places(text: str, index: Index) -> list[tuple[str, int, int, float]]:
+    """(label, first line, lines, containment) of the templates found, each place once."""
+    # words of no template only count for the length filter, which the shared words pass anyway
+    lines = [index.rank.keys() & folded(x).split() for x in text.split("\n")]
+    places: dict[tuple[str, int, int], float] = {}
+    for size, least, most in ((SHORT_LINES, 0, LONG_FROM - 1), (LONG_LINES, LONG_FROM, math.inf)):
+        for i in range(len(lines)):
+            if not lines[i]:
+                continue
+            for at, share in index.found(set().union(*lines[i : i + size]), least, most):
+                label, own, _, _ = index.templates[at]
+                held = [k for k in range(i, min(i + size, len(lines))) if not own.isdisjoint(lines[k])]
+                key = label, held[0], held[-1] - held[0] + 1
+                places[key] = max(share, places.get(key, 0.0))
+    return [(*k, share) for k, share in sorted(places.items())]
+
+
 def scan_text(text: str | None, index: Index) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, float]]]:
-    """Number of words, places of phrases, and (label, first line, lines, containment) of the blocks found."""
-    whole = folded(text)
-    words = whole.split()
-    places = phrase_places(words)
-    blocks = []
-    if not index.prefix.keys().isdisjoint(words):
-        lines = [set(folded(x).split()) for x in text.split("\n")]
-        for i, own in enumerate(lines):
-            blocks += [(label, i, 1, share) for label, share in index.found(own, 1)]
-        for i in range(0, max(1, len(lines) - GROUP_LINES // 2), GROUP_LINES // 2):
-            group = set().union(*lines[i : i + GROUP_LINES])
-            blocks += [(label, i, GROUP_LINES, share) for label, share in index.found(group, GROUP_FROM)]
-    return len(words), places, blocks
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Number of words, places of phrases, and the blocks found."""
+    words = folded(text).split()
+    blocks = [] if index.prefix.keys().isdisjoint(words) else block_places(text, index)
+    return len(words), phrase_places(words), blocks
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: DataFrame | None = None) -> DataFrame:
     """(id, n_words, places, blocks): one row per row of docs."""
     small_batches(docs.sparkSession)
-    templates = template_words()
-    index = Index(templates, word_counts(docs, text_col, frozenset().union(*templates.values())), threshold)
+    known = template_words(templates)
+    counts = word_counts(docs, text_col, frozenset().union(*[words for _, words in known]))
+    index = shipped(docs.sparkSession, Index(known, counts, threshold))
     place = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     block = pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("lines", pa.int64()), ("containment", pa.float64())]))
 
     def run(batches):
+        own = opened(index)
         for b in batches:
-            got = [scan_text(t.as_py(), index) for t in b.column(1)]
+            got = [scan_text(t.as_py(), own) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([[{"word": w, "label": x} for w, x in g[1]] for g in got], place), pa.array([[dict(zip(("label", "line", "lines", "containment"), x, strict=True)) for x in g[2]] for g in got], block)],
                 ["id", "n_words", "places", "blocks"],
