@@ -12,9 +12,9 @@ each give their row; further columns of the records are ignored.
 
 from __future__ import annotations
 
-import gzip
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,29 +86,106 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
 # ---- files
 
 
+def _text(b: bytes) -> str:
+    """Of a head: UTF-8, or Latin-1 where it isn't."""
+    try:
+        return b.strip().decode("utf-8")
+    except UnicodeDecodeError:
+        return b.strip().decode("latin-1")
+
+
 def _head(block: bytes) -> dict[str, str]:
     out = {}
     for line in re.sub(rb"\r?\n[ \t]+", b" ", block).splitlines()[1:]:
         name, sep, value = line.partition(b":")
         if sep:
-            out[name.strip().decode("latin-1").lower()] = value.strip().decode("latin-1")
+            out[_text(name).lower()] = _text(value)
     return out
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of one file, plain or gzipped; a damaged end is left out."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = _head(data[at:end])
-        n = int(head.get("content-length", "0"))
-        block = data[end + 4 : end + 4 + n]
-        if len(block) < n:
+#: Bytes of a head that hasn't ended, after which a file is taken to be damaged there, and of a piece that is read at once.
+LONGEST_HEAD, PIECE = 1 << 20, 1 << 20
+
+
+def inflated(read: Callable[[int], bytes]) -> Iterator[bytes]:
+    """A file's bytes in pieces, unpacked if it is gzipped, member by member. What follows a damaged member's good part, up to the next member's mark, is skipped."""
+    first = read(2)
+    if first != b"\x1f\x8b":
+        while first:
+            yield first
+            first = read(PIECE)
+        return
+    left, mark = first, b"\x1f\x8b\x08"
+    while True:
+        engine = zlib.decompressobj(31)
+        while not engine.eof:
+            left = left or read(PIECE)
+            if not left:
+                return  # the last member is cut off
+            try:
+                # a bounded piece at a time, so that no record's size is the memory of a task
+                out = engine.decompress(left, PIECE)
+                left = engine.unconsumed_tail
+            except zlib.error:
+                while (at := left.find(mark, 1)) < 0:
+                    more = read(PIECE)
+                    if not more:
+                        return
+                    left = left[-2:] + more
+                left = left[at:]
+                break
+            if out:
+                yield out
+        else:
+            left = engine.unused_data
+        while len(left) < 3 and (more := read(PIECE)):
+            left += more
+        if not left:
             return
+
+
+def blocks_of(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(head, block) of the records; a record with a head that can't be read, or without its whole block, is left out."""
+    held = bytearray()
+
+    def fill() -> bool:
+        piece = next(pieces, b"")
+        held.extend(piece)
+        return bool(piece)
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not fill():
+                return
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0 and len(held) <= LONGEST_HEAD:
+            if not fill():
+                return
+        size = _head(bytes(held[:end])).get("content-length", "0") if end >= 0 else ""
+        if not size.isdecimal() or len(size) > 15:
+            del held[:5]  # the next record is sought behind this mark
+            continue
+        stop = end + 4 + int(size)
+        while len(held) < stop:
+            if not fill():
+                return
+        yield bytes(held[:end]), bytes(held[end + 4 : stop])
+        del held[:stop]
+
+
+def parse_warc(data: bytes | Callable[[int], bytes]) -> Iterator[dict]:
+    """The records of one file, plain or gzipped, given whole or by a function that reads so many bytes more.
+
+    Damaged records are left out: gzip members that don't unpack, heads without an end or with a length
+    that isn't a number, blocks that are cut off. A date that isn't one is a null time.
+    """
+    if not callable(data):
+        import io
+
+        data = io.BytesIO(data).read
+    for top_, block in blocks_of(inflated(data)):
+        head = _head(top_)
         kind, status, http, body = head.get("warc-type", ""), b"", {}, block
         if head.get("content-type", "").startswith("application/http"):
             top, _, body = block.partition(b"\r\n\r\n")
@@ -116,24 +193,25 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         if kind == "response" and b" 304" in status[:16]:
             kind = "revisit"
         stamp = re.sub(r"\D", "", head.get("warc-date", ""))[:14]
-        yield {"record_id": head.get("warc-record-id"), "kind": kind, "url": head.get("warc-target-uri"), "time": int(stamp) if stamp else None, "headers": http, "digest": head.get("warc-payload-digest"), "body": body}
-        at = end + 4 + n
+        yield {"record_id": head.get("warc-record-id"), "kind": kind, "url": head.get("warc-target-uri"), "time": int(stamp) if len(stamp) == 14 else None, "headers": http, "digest": head.get("warc-payload-digest"), "body": body}
 
 
 def format_warc(record: dict) -> bytes:
-    """One record; `time` is YYYYMMDDhhmmss as a number. parse_warc gives it back."""
-    t = f"{record['time']:014d}"
-    date = f"{t[:4]}-{t[4:6]}-{t[6:8]}T{t[8:10]}:{t[10:12]}:{t[12:14]}Z"
+    """One record; `time` is YYYYMMDDhhmmss as a number. parse_warc gives it back; null fields are left out of the head."""
+    fields = {"WARC-Type": record["kind"], "WARC-Record-ID": record["record_id"], "WARC-Target-URI": record["url"], "WARC-Payload-Digest": record["digest"]}
+    if record["time"] is not None:
+        t = f"{record['time']:014d}"
+        fields["WARC-Date"] = f"{t[:4]}-{t[4:6]}-{t[6:8]}T{t[8:10]}:{t[10:12]}:{t[12:14]}Z"
     status = "304 Not Modified" if record["kind"] == "revisit" else "200 OK"
-    http = "".join(f"{k}: {v}\r\n" for k, v in sorted((record["headers"] or {}).items()))
-    block = f"HTTP/1.1 {status}\r\n{http}\r\n".encode("latin-1") + (record["body"] or b"")
-    digest = f"WARC-Payload-Digest: {record['digest']}\r\n" if record["digest"] else ""
-    head = f"WARC/1.1\r\nWARC-Type: {record['kind']}\r\nWARC-Record-ID: {record['record_id']}\r\nWARC-Target-URI: {record['url']}\r\nWARC-Date: {date}\r\n{digest}Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
-    return head.encode("latin-1") + block + b"\r\n\r\n"
+    line = lambda k, v: f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n".encode("utf-8", "replace")
+    http = b"".join(line(k, v) for k, v in sorted((record["headers"] or {}).items()) if v is not None)
+    block = f"HTTP/1.1 {status}\r\n".encode() + http + b"\r\n" + (record["body"] or b"")
+    head = b"".join(line(k, v) for k, v in fields.items() if v is not None)
+    return b"WARC/1.1\r\n" + head + f"Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under a path that Spark can read."""
+    """The records of all WARC files under a path that Spark can read; a file is a row of Spark's, and so has 2 GB at most, and is unpacked piece by piece."""
 
     def run(batches):
         kind = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("time", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("body", pa.binary())])
