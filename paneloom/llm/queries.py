@@ -85,6 +85,30 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_embeddings": op3_embeddings, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op6_mixing": op6_mixing, "op7_langid": op7_langid, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_linededup": op10_linededup}
 
 ORACLES = {
+    "op6_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source AS src, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+totals AS (SELECT src, CAST(sum(size) AS DOUBLE) AS tokens FROM sized GROUP BY src),
+ranked AS (SELECT *, row_number() OVER (ORDER BY src NULLS LAST) - 1 AS rk FROM totals),
+weighed AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS wt, 3.0::DOUBLE * tokens AS cap FROM ranked),
+levels AS (
+  SELECT *, (sum(tokens) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / wt, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(wt) OVER (ORDER BY cap / wt, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+open_level AS (SELECT level AS lv FROM levels WHERE level * wt <= cap ORDER BY cap / wt, rk LIMIT 1),
+targets AS (SELECT src, tokens, CASE WHEN lv IS NULL THEN cap ELSE least(cap, lv * wt) END AS target FROM levels LEFT JOIN open_level ON true),
+rates AS (SELECT *, CASE WHEN tokens > 0 THEN target / tokens ELSE 0 END AS rate FROM targets),
+groups AS (SELECT s.src, s.size, count(*) AS n, any_value(target) AS target, any_value(tokens) AS tokens, any_value(rate) AS rate FROM sized s JOIN rates r ON s.src IS NOT DISTINCT FROM r.src GROUP BY s.src, s.size),
+started AS (SELECT *, floor(rate) AS low, coalesce(sum(n) OVER (PARTITION BY src ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start FROM groups),
+rounded AS (SELECT *, floor((start + n) * (rate - low) + 0.5) - floor(start * (rate - low) + 0.5) AS ups FROM started),
+missed AS (SELECT *, target - sum((low * n + ups) * size) OVER (PARTITION BY src) AS miss FROM rounded),
+able AS (SELECT *, CASE WHEN rate = low THEN 0 WHEN miss > 0 THEN n - ups ELSE ups END AS can FROM missed),
+spent AS (SELECT *, coalesce(sum(can * size) OVER (PARTITION BY src ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM able),
+turned AS (SELECT *, CASE WHEN size > 0 THEN greatest(0, least(can, round((abs(miss) - used) / size))) ELSE 0 END AS turn FROM spent),
+final AS (SELECT src, size, low, target, tokens, ups + CASE WHEN miss > 0 THEN turn ELSE -turn END AS ups FROM turned),
+placed AS (SELECT *, row_number() OVER (PARTITION BY src, size ORDER BY h, doc_id) AS i FROM sized)
+SELECT p.doc_id, p.size, CAST(f.tokens AS BIGINT) AS source_size, f.target, CAST((f.low + CASE WHEN p.i <= f.ups THEN 1 ELSE 0 END) * p.size AS BIGINT) AS taken
+FROM placed p JOIN final f ON p.src IS NOT DISTINCT FROM f.src AND p.size = f.size
+""",
     "op5_warc": r"""
 WITH parts AS (
   SELECT page_id, url, html, regexp_replace(url, '#.*$', '') AS u FROM pages),
