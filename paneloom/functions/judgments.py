@@ -73,6 +73,7 @@ def segment(text: Column, span: Column) -> Column:
     return F.when(span.isNotNull(), F.substring(text, span["start"] + 1, span["end"] - span["start"]))
 
 
+# fixed values: what a charge doesn't begin with
 BAD_CHARGE = "^(?:罪|犯|被告|该|其|上述|本|前|所|又|数|新)"
 
 
@@ -88,6 +89,7 @@ def penalty(chunk: Column) -> Column:
 
     Parentheses go; the part after the last 决定执行 counts, else that from the first 判处 on.
     """
+    # fixed values: patterns of penalties and fines
     main = f"(死刑|无期徒刑|有期徒刑|拘役|管制)([{CN}0-9年个月零日天]*)"
     fine = f"罚金(?:人民币)?({NUM})(?:余)?元"
     some = lambda x: F.nullif(x, F.lit(""))
@@ -156,6 +158,7 @@ def amount(reasoning: Column, facts: Column, charge: Column) -> Column:
     return F.get(named, 0)
 
 
+# fixed values: the statement of a procedure
 PROCEDURE = "(?:(?<!不)(?<!不宜)(?<!未)(?<!不能)适用|转为(?:适用)?|转换为|变更为|改为|适用程序[：:]?)(?:刑事案件)?(速裁|简易|普通)程序"
 
 
@@ -188,6 +191,7 @@ def flags(text: Column, seg: dict[str, Column]) -> dict[str, Column]:
     why = F.coalesce(F.nullif(seg["reasoning"], F.lit("")), text)
     body = F.concat(empty(F.coalesce(F.nullif(seg["facts"], F.lit("")), seg["charge"])), empty(seg["reasoning"]))
     plea, signed = text.contains("认罪认罚"), text.contains("具结")
+    # fixed values: cues of the other flags
     return {
         "plea_formal": plea,
         "jiejie": signed,

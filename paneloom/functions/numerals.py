@@ -85,6 +85,7 @@ def months(s: Column) -> Column:
     return let(parts, total)
 
 
+# fixed values: patterns of dates
 CN_DATE = "([0-9〇○零一二三四五六七八九Ｏ]{4})\\s*年\\s*([0-9一二三四五六七八九十]{1,3})\\s*月\\s*([0-9一二三四五六七八九十]{1,3})\\s*日"
 ISO_DATE = "^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})"
 
@@ -111,6 +112,7 @@ PROVINCES = {
     "闽": "福建省", "赣": "江西省", "鲁": "山东省", "豫": "河南省", "鄂": "湖北省", "湘": "湖南省", "粤": "广东省", "琼": "海南省", "川": "四川省", "黔": "贵州省", "云": "云南省", "陕": "陕西省",
     "甘": "甘肃省", "青": "青海省", "台": "台湾省", "内": "内蒙古自治区", "桂": "广西壮族自治区", "藏": "西藏自治区", "宁": "宁夏回族自治区", "新": "新疆维吾尔自治区", "港": "香港特别行政区", "澳": "澳门特别行政区",
 }
+# fixed values: the case numbers that name a province
 NEW_CASE = "^\\s*[(（]\\s*[0-9]{4}\\s*[)）]\\s*([^0-9])([0-9]+)"
 
 
@@ -133,6 +135,7 @@ def year_in(s: Column) -> Column:
     return F.nullif(F.regexp_extract(s, "((?:19|20)[0-9]{2})", 1), F.lit("")).try_cast("int")
 
 
+# fixed values: how a court's name begins with its city
 COURT_CITY = "^(?:[一-龥]{2,8}?(?:省|自治区))?([一-龥]{2,10}?(?:市|自治州|地区|盟))"
 
 

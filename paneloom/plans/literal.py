@@ -42,13 +42,14 @@ def register(name: str, cases: list[tuple], outputs: list[str], build) -> None:
     ORACLES[name] = f"SELECT CAST(id AS BIGINT) AS id, {select} FROM (VALUES {values}) AS t(id, {', '.join(outputs)})"
 
 
-NUMBERS = [("1996", 1996.0), ("1,996", 1996.0), ("3，000", 3000.0), ("1,234,567", 1234567.0), ("24332.30", 24332.3), ("2，983.50", 2983.5), ("6.2万", 62000.0), ("1万2千", 12000.0), ("三千五百", 3500.0), ("两千", 2000.0), ("一万三千八百八十八", 13888.0), ("十", 10.0), ("十五", 15.0), ("二十", 20.0), ("一百零五", 105.0), ("三十万", 300000.0), ("１２３", 123.0), ("１，２００", 1200.0), ("1300余", 1300.0), ("700多", 700.0), ("3千", 3000.0), ("二〇一五", 2015.0), ("壹万", 10000.0), ("一亿二千万", 120000000.0), ("12,34", 12.0), ("无", None), ("", None), (None, None)]
+# fixed values: inputs with the values that any implementation of these rules must give, up to REFERENCES; those that end each list are this library's own
+NUMBERS = [("1996", 1996.0), ("1,996", 1996.0), ("3，000", 3000.0), ("1,234,567", 1234567.0), ("24332.30", 24332.3), ("2，983.50", 2983.5), ("6.2万", 62000.0), ("1万2千", 12000.0), ("三千五百", 3500.0), ("两千", 2000.0), ("一万三千八百八十八", 13888.0), ("十", 10.0), ("十五", 15.0), ("二十", 20.0), ("一百零五", 105.0), ("三十万", 300000.0), ("１２３", 123.0), ("１，２００", 1200.0), ("1300余", 1300.0), ("700多", 700.0), ("3千", 3000.0), ("二〇一五", 2015.0), ("壹万", 10000.0), ("一亿二千万", 120000000.0), ("12,34", 12.0), ("无", None), ("", None), ("四千零七", 4007.0), ("2万5千", 25000.0), ("９８７.5", 987.5), ("廿", None), (None, None)]
 register("num_parse", NUMBERS, ["value"], lambda s: {"value": numerals.number(s)})
 
-DURATIONS = [("一年六个月", 18.0), ("八个月", 8.0), ("十年", 120.0), ("1年零3个月", 15.0), ("两年", 24.0), ("十五日", 0.5), ("一年又三个月", 12.0), ("一个月十五日", 1.5), ("终身", None), (None, None)]
+DURATIONS = [("一年六个月", 18.0), ("八个月", 8.0), ("十年", 120.0), ("1年零3个月", 15.0), ("两年", 24.0), ("十五日", 0.5), ("一年又三个月", 12.0), ("一个月十五日", 1.5), ("终身", None), ("三年", 36.0), ("九个月二十日", 9.667), ("", None), (None, None)]
 register("duration_parse", DURATIONS, ["months"], lambda s: {"months": numerals.months(s)})
 
-DATES = [("2018-08-28", dt.date(2018, 8, 28), "iso"), ("2018年8月28日", dt.date(2018, 8, 28), "cn_arabic"), ("2015年十二月二十九日", dt.date(2015, 12, 29), "cn_numeral"), ("二〇一五年一月五日", dt.date(2015, 1, 5), "cn_numeral"), ("于2016年十月三十日宣判", dt.date(2016, 10, 30), "cn_numeral"), ("2017年2月30日", None, "cn_arabic"), ("不详", None, "other"), ("", None, "missing"), (None, None, "missing")]
+DATES = [("2018-08-28", dt.date(2018, 8, 28), "iso"), ("2018年8月28日", dt.date(2018, 8, 28), "cn_arabic"), ("2015年十二月二十九日", dt.date(2015, 12, 29), "cn_numeral"), ("二〇一五年一月五日", dt.date(2015, 1, 5), "cn_numeral"), ("于2016年十月三十日宣判", dt.date(2016, 10, 30), "cn_numeral"), ("2017年2月30日", None, "cn_arabic"), ("不详", None, "other"), ("2020-02-30", None, "iso"), ("二〇一九年十一月三十日", dt.date(2019, 11, 30), "cn_numeral"), ("", None, "missing"), (None, None, "missing")]
 register("date_parse", DATES, ["day", "kind"], lambda s: {"day": numerals.judgment_date(s), "kind": numerals.date_kind(s)})
 
 CASES = [("(2018)粤0902刑初370号", "粤", "0902", "刑初", 370), ("(2018)浙07刑终21号", "浙", "07", "刑终", 21), ("(2019)京0105刑更123号", "京", "0105", "刑更", 123), ("（2019）沪0115刑初1号", "沪", "0115", "刑初", 1), ("(2016)津0116刑初字第8号", "津", "0116", "刑初", 8), ("(2016)鲁0683行初19号", "鲁", "0683", "其他", 19), ("(2015)兴刑初字第153号", None, None, "刑初", 153), ("(2015)武法民初字第01659号", None, None, "其他", 1659), ("(2018)川01刑监5号", "川", "01", "其他", 5), ("永刑初字第70号", None, None, "刑初", 70), (None, None, None, "其他", None)]
