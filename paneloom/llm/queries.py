@@ -184,3 +184,30 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
 FROM flagged GROUP BY doc_id
 """,
 }
+
+
+def _license_sql() -> str:
+    """Phrases by their words, and every block of consecutive lines against every template."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    between = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    phrases = ", ".join(f"({text(p)}, {text(label)}, {len(p.split())})" for p, label in licenses.PHRASES)
+    words = lambda own: "[" + ", ".join(text(w.decode()) for w in sorted(own)) + "]"
+    size = lambda own: licenses.LONG_LINES if len(own) >= licenses.LONG_FROM else licenses.SHORT_LINES
+    templates = ", ".join(f"({text(label)}, {words(own)}, {size(own)})" for label, own in licenses.template_words())
+    return f"""
+WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT doc_id, list_filter(string_split_regex(t, {between}), lambda w: w <> '') AS w FROM docs),
+places AS (SELECT doc_id, i - 1 AS place, label FROM words, (VALUES {phrases}) AS p(phrase, label, n), unnest(range(1, len(w) - n + 2)) AS s(i) WHERE w[i] = split_part(phrase, ' ', 1) AND array_to_string(w[i:i + n - 1], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda l: string_split_regex(l, {between})) AS ls FROM docs),
+shares AS (SELECT doc_id, label, len(list_intersect(flatten(ls[i:i + size - 1]), own)) / len(own) AS share FROM lines, (VALUES {templates}) AS m(label, own, size), unnest(range(1, len(ls) + 1)) AS s(i)),
+found AS (SELECT doc_id, label, max(share) AS share FROM shares WHERE share >= {licenses.THRESHOLD} - 1e-9 GROUP BY doc_id, label),
+labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM found UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0)) AS DOUBLE) AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+ORACLES["op2_licenses"] = _license_sql()
