@@ -1,5 +1,6 @@
 """Each operator against a plain version, over edge cases and empty tables."""
 
+import gzip
 import re
 from collections import Counter, defaultdict
 
@@ -68,7 +69,7 @@ def test_simhash_random_fingerprints(spark):
     nodes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
     from pyspark.sql import functions as F
 
-    blocks = nodes.select(F.explode(simhash.pigeonhole_keys(F.col("fp"), 4)).alias("key"), "node")
+    blocks = nodes.select(F.explode(simhash.pigeonhole_keys(F.col("fp"), 4)).alias("key"), "node", F.col("fp").alias("by"))
     got = dict(simhash.linked(nodes, blocks, lambda l, r: F.bit_count(l("fp").bitwiseXOR(r("fp"))) <= 4, ["fp"]).select("node", "component").collect())
     up = roots(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
     assert all(got.get(i, i) == up[i] for i in range(len(fps)))
@@ -146,6 +147,20 @@ def test_line_runs_compact_and_find_unseen(spark):
     assert sorted(r.n_docs for r in runs.table().collect()) == [1, 1, 2]
 
 
+def test_line_runs_stay_in_a_folder(spark, tmp_path):
+    """A later job opens the runs and adds its own; merged runs go once the manifest no longer names them."""
+    folder = f"file://{tmp_path}/runs"
+    keys = lambda i, t: linedup.LineRuns.keys(spark.createDataFrame([(i, t * 50)], "doc_id long, text string"), 40)
+    for i, t in enumerate("abacaab"):
+        runs = linedup.LineRuns(spark, fanout=2, folder=folder)
+        assert runs.unseen(keys(i, t)).count() == (t not in "abacaab"[:i])
+        runs.add(keys(i, t))
+    runs = linedup.LineRuns(spark, fanout=2, folder=folder)
+    assert [len(x) for x in runs.levels] == [1, 1, 1] and len([p for p in (tmp_path / "runs").iterdir() if p.name.startswith("run-")]) == 3
+    assert sorted((r.n_docs, r.last_doc) for r in runs.table().collect()) == [(1, 3), (2, 6), (4, 5)]
+    assert [(r.last_doc) for r in runs.doomed(3).collect()] == [5]
+
+
 def test_mixing(edge, none, spark):
     got = mixing.mixed(edge).collect()
     assert len(got) == edge.count() and mixing.mixed(none).count() == 0
@@ -193,7 +208,13 @@ def test_winnowing(edge, none, spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     items = [(10, base), (9, "GAMMA delta, epsilon zeta eta theta iota kappa!"), (8, "tau upsilon"), (7, None), (6, " . "), (5, "mit license"), (4, "one two three four five six seven eight nine"), (3, "東京")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.id: r for r in winnow.contamination(edge, bench).collect()}
+    rows = winnow.contamination(edge, bench).collect()
+    assert Counter(r.id for r in rows) == Counter(r.doc_id for r in edge.collect())
+    got = {r.id: r for r in rows}
+    null = Counter((r.n_words, r.n_hit, tuple(r["items"])) for r in rows if r.id is None)
+    assert null == Counter((n, h, tuple(i)) for r in edge.where("doc_id is null").collect() for n, h, i in [plain_hits(r.text, items)])
+    kept = winnow.without_contaminated(edge, bench, 1)
+    assert kept.columns == edge.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in edge.collect() if not plain_hits(r.text, items)[2])
     for r in edge.where("doc_id is not null").collect():
         g = got[r.doc_id]
         assert (g.n_words, g.n_hit, g["items"]) == plain_hits(r.text, items), r.doc_id
@@ -267,16 +288,21 @@ def test_embeddings(spark):
     assert sphere.linked_vectors(df.where("false")).count() == 0
 
 
-def test_cap_recall():
-    rng = np.random.default_rng(5)
-    a = rng.standard_normal((500, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    n = rng.standard_normal(a.shape)
-    n -= (n * a).sum(1, keepdims=True) * a
-    b = 0.9 * a + 0.19**0.5 * n / np.linalg.norm(n, axis=1, keepdims=True)
-    code = sphere.code_of(64)
-    met = [bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(sphere.decode(a, code), sphere.decode(b, code), strict=True)]
-    assert np.mean(met) >= 0.95
+def meeting(a, b, code=sphere.CODE):
+    """The share of the pairs (a[i], b[i]) that meet in a filter."""
+    halves = sphere.code_of(a.shape[1], code)
+    n = sphere.filters_for(halves, 0.9)
+    return np.mean([not set(x.tolist()).isdisjoint(y.tolist()) for x, y in zip(sphere.decode(a, halves, n), sphere.decode(b, halves, n), strict=True)])
+
+
+@pytest.mark.parametrize("dim, code", [(16, 512), (64, 512), (768, 512), (64, 2048)])
+def test_cap_recall(dim, code):
+    """Pairs of cosine 0.9, other ones than the number of filters was found with."""
+    assert meeting(*sphere.pairs_at(0.9, dim, 1000), code) >= 0.96
+
+
+def test_codes_grow_with_the_table():
+    assert [sphere.code_size(n) for n in (0, 10**5, 10**6, 10**8, 10**12)] == [512, 512, 1024, 8192, sphere.MOST_CODE]
 
 
 @pytest.mark.parametrize("dim", [64, 256])
@@ -288,34 +314,89 @@ def test_cap_recall_of_uneven_halves(dim, second):
     a, n = rng.standard_normal((2, 500, dim)) * scale
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     n -= (n * a).sum(1, keepdims=True) * a
-    b = 0.9 * a + 0.19**0.5 * n / np.linalg.norm(n, axis=1, keepdims=True)
-    code = sphere.code_of(dim)
-    met = [bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(sphere.decode(a, code), sphere.decode(b, code), strict=True)]
-    assert np.mean(met) >= 0.95
+    assert meeting(a, 0.9 * a + 0.19**0.5 * n / np.linalg.norm(n, axis=1, keepdims=True)) >= 0.95
 
 
-def test_tied_filters_are_kept():
-    code = [(0, 1, np.ones((40, 1))), (1, 2, np.ones((3, 1)))]
-    assert [len(x) for x in sphere.decode(np.array([[0.6, 0.8]]), code)] == [120]
+def test_recall_of_the_whole_join(spark):
+    """1,000 pairs just above the bound among 4,000 other vectors, in single precision: at least 0.95 are linked, and nothing else is."""
+    rng = np.random.default_rng(11)
+    a, b = sphere.pairs_at(0.9005, 48, 1000)
+    rest = rng.standard_normal((4000, 48))
+    vectors = np.concatenate((a, b, rest)).astype(np.float32).tolist()
+    got = {r.id: (r.n_links, r.component) for r in sphere.linked_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == 6000 and np.mean([got[i] == (1, i) and got[1000 + i] == (1, i) for i in range(1000)]) >= 0.95
+    assert all(got[i] == (0, i) for i in range(2000, 6000))
 
 
-def test_licenses(edge, none):
-    got = {r.id: r for r in licenses.scan(edge).collect()}
-    for r in edge.where("doc_id is not null").collect():
-        words = WORD8.findall((r.text or "").translate(UP))
-        want = sorted((i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
-        assert got[r.doc_id].n_words == len(words) and [(p.word, p.label) for p in got[r.doc_id].places] == want
+def test_double_vectors(spark):
+    """The bound is kept in double precision, and neither great nor small numbers overflow."""
+    side = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(1, [1.0, 0.0]), (2, side(0.900000002)), (3, side(-0.899999998)), (4, [-1.0, 0.0]), (5, [1e300, 0.0, 1e300]), (6, [1e300, 0.0, 1e300]), (7, [1e-60, 0.0, 1e-60, 0.0]), (8, [3e-60, 0.0, 3e-60, 0.0])]
+    got = {r.id: (r.n_links, r.component) for r in sphere.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7)}
+
+
+def test_one_group_of_near_copies(spark):
+    """All links of a group count once, though its vectors share many filters and their buckets are cut into chunks."""
+    rng = np.random.default_rng(4)
+    rows = (rng.standard_normal(32) + 0.05 * rng.standard_normal((500, 32))).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    for bucket in (1000, 60):
+        assert {(r.n_links, r.component) for r in sphere.linked_vectors(df, bucket=bucket).collect()} == {(499, 0)}
+
+
+def test_tied_filters_are_kept():
+    halves = [np.tile([[1.0, 0.0]], (40, 1)), np.tile([[0.0, 1.0]], (3, 1))]
+    assert [len(x) for x in sphere.decode(np.array([[0.6, 0.8]]), halves, 24)] == [120]
+
+
+def plain_blocks(text, templates, threshold=0.8):
+    """Labels of the templates that some group of lines holds, and the greatest share, without any index."""
+    lines = [set(WORD8.findall(x.translate(UP))) for x in (text or "").split("\n")]
+    labels, most = set(), 0.0
+    for label, t in templates:
+        own = set(WORD8.findall(t.translate(UP)))
+        size = licenses.LONG_LINES if len(own) >= licenses.LONG_FROM else licenses.SHORT_LINES
+        for i in range(len(lines)):
+            share = len(own & set().union(*lines[i : i + size])) / len(own)
+            if share >= threshold - 1e-9:
+                labels.add(label)
+                most = max(most, share)
+    return labels, most
+
+
+def test_licenses(edge, none, spark):
+    rng = np.random.default_rng(9)
+    wrapped = []
+    for i, (_, t) in enumerate(licenses.TEMPLATES * 3):  # wrapped at every few words, with some words changed
+        w = t.split()
+        for _ in range(int(rng.integers(0, 1 + len(w) // 6))):
+            w[rng.integers(0, len(w))] = "zzz"
+        n = int(rng.integers(3, 9))
+        wrapped.append((100 + i, "intro words\n\n" + "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n)) + "\nmore\nwords here", "en", "a", 0))
+    docs = edge.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(wrapped, "doc_id long, text string, lang string, source string, n_chars long")).where("doc_id is not null").distinct()
+    own = [("x", "alpha beta gamma"), ("x", "iota kappa lambda mu nu xi"), ("y", "quick brown lazy dog zzz"), ("z", ""), (None, "alpha")]
+    for table, templates in ((None, licenses.TEMPLATES), (spark.createDataFrame(own, "label string, text string"), own[:3])):
+        got = {r.id: r for r in licenses.scan(docs, templates=table).collect()}
+        for r in docs.collect():
+            words = WORD8.findall((r.text or "").translate(UP))
+            want = sorted((i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+            g = got[r.doc_id]
+            assert g.n_words == len(words) and [(p.word, p.label) for p in g.places] == want
+            labels, most = plain_blocks(r.text, templates)
+            assert {b.label for b in g.blocks} == labels and max([b.containment for b in g.blocks], default=0.0) == pytest.approx(most), r.text
+            assert all(0 <= b.line and 1 <= b.lines <= licenses.LONG_LINES for b in g.blocks)
     assert licenses.scan(none).count() == 0
 
 
 def test_license_join_is_exact():
     rng = np.random.default_rng(7)
-    templates = {f"t{i}": frozenset(f"w{k}".encode() for k in rng.choice(40, rng.integers(2, 12), replace=False)) for i in range(30)}
+    templates = [(f"t{i}", frozenset(f"w{k}".encode() for k in rng.choice(40, rng.integers(2, 12), replace=False))) for i in range(30)]
     counts = {f"w{k}".encode(): int(rng.integers(0, 100)) for k in range(40)}
     index = licenses.Index(templates, counts, 0.8)
     for _ in range(300):
         block = {f"w{k}".encode() for k in rng.choice(50, rng.integers(0, 30), replace=False)}
-        assert sorted(index.found(block, 1)) == sorted((k, len(t & block) / len(t)) for k, t in templates.items() if len(t & block) / len(t) >= 0.8 - 1e-12)
+        assert sorted((index.templates[at][0], share) for at, share in index.found(block)) == sorted((k, len(t & block) / len(t)) for k, t in templates if len(t & block) / len(t) >= 0.8 - 1e-12)
 
 
 def test_language_id(spark):
@@ -330,6 +411,55 @@ def test_language_id(spark):
     assert langid.identify(odd, train.where("false")).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_language(pairs, text):
+    """The documented rule, word by word with loops: (log scores by language, number of words)."""
+    letters = lambda t: [w for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    langs = sorted({lang for lang, _ in pairs})
+    counts = {lang: Counter(w for x, t in pairs if x == lang for w in letters(t)) for lang in langs}
+    met = sum(counts.values(), Counter())
+
+    def logs(tables):
+        known = set().union(*tables.values())
+        return {k: [np.log((tables[x][k] + 1) / (sum(tables[x].values()) + len(known))) for x in langs] for k in known}
+
+    words = logs({x: Counter({w: n for w, n in counts[x].items() if met[w] >= 2}) for x in langs})
+    parts = []
+    for n in range(1, 6):
+        tables = {x: Counter() for x in langs}
+        for x in langs:
+            for w, k in counts[x].items():
+                for g in [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]:
+                    tables[x][g] += k
+        parts.append(logs(tables))
+    sums, own = np.zeros(len(langs)), letters(text)
+    for w in own:
+        if w in words:
+            sums += words[w]
+            continue
+        for n in range(5, 0, -1):
+            hit = [parts[n - 1][g] for g in [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)] if g in parts[n - 1]]
+            if hit:
+                sums += np.mean(hit, axis=0)
+                break
+    return langs, sums, len(own)
+
+
+def test_language_id_equals_the_plain_rule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    train = docs.where("doc_id < 60 and lang is not null")
+    pairs = [(r.lang, r.text) for r in train.collect()]
+    odd = spark.createDataFrame([(900, "zzqx vvv", None), (901, "12 ! 3", None), (902, None, None), (903, "the zzzzthe", None)], docs.schema)
+    tested = docs.where("doc_id >= 150").unionByName(odd)
+    got = {r.id: r for r in langid.identify(tested, train).collect()}
+    for r in tested.collect():
+        langs, sums, n = plain_language(pairs, r.text)
+        if not n:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        assert got[r.doc_id].lang_pred == langs[int(sums.argmax())]
+        assert got[r.doc_id].score == pytest.approx(1 / np.exp((sums - sums.max()) / n**0.5).sum(), rel=1e-9)
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").where("doc_id < 6000") for t in ("documents", "labels"))
     known = {r.doc_id: r.toxic for r in labels.where("doc_id % 4 = 2").collect()}
@@ -343,8 +473,50 @@ def test_toxicity(spark):
     assert crf.tag(odd, docs, labels.where("false")).count() == 3
 
 
+def test_toxicity_score_equals_the_plain_rule(spark):
+    """Scores are those of a field whose marginals are sums over all labellings of each sentence."""
+    toxic = ["you scum talk trash", "what a scum. fine day", "trash trash scum", "scum here"] * 15
+    clean = ["you talk of the day", "what a fine day. here we are", "we are here", "the day is fine"] * 15
+    rows = [(i, t) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i, _ in rows], "doc_id long, toxic int")
+    field = crf.learned(docs, labels)
+    assert {"=scum", "4scum", "=trash"} <= set(field.weights) and not {"=the", "=fine", "=day"} & set(field.weights)
+    tested = spark.createDataFrame([(1, "Scum of the day. We talk"), (2, "we are fine"), (3, "a trash scum a scum\nscum"), (4, None), (5, "trashes here")], "doc_id long, text string")
+    got = {r.id: r for r in crf.tag(tested, docs, labels).collect()}
+    for r in tested.collect():
+        most, spans = 0.0, []
+        for s in re.split(r"[.!?\n]", (r.text or "").lower()):
+            words = re.findall(r"[^\W\d_]+", s)
+            own = [sum(field.weights.get(f, 0.0) for f in crf.features(w)) for w in words]
+            z = {m: np.exp(sum((m >> k & 1) * (field.bias + own[k] + (field.start if k == 0 else 0)) for k in range(len(words))) + field.stay * sum((m >> k & 1) * (m >> k + 1 & 1) for k in range(len(words) - 1))) for m in range(1 << len(words))}
+            for k in range(len(words)):
+                p = sum(v for m, v in z.items() if m >> k & 1) / sum(z.values())
+                if any(own):
+                    most = max(most, p if own[k] else 0.0)
+                    spans += [(words[k], p)] if p >= 0.5 else []
+        odds = min(8.0, max(-8.0, np.log(max(most, 1e-9) / (1 - min(most, 1 - 1e-9)))))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-(field.level + field.slope * odds))), rel=1e-9)
+        assert [(r.text.lower()[s.start : s.end], s.marginal) for s in got[r.doc_id].spans] == [(w, pytest.approx(p)) for w, p in spans]
+    assert got[1].score > 0.5 > got[2].score and got[3].score > 0.5 and got[4].score == got[2].score
+    kept = crf.clean(tested.withColumn("more", tested.doc_id * 2), field, 0.5)
+    assert kept.columns == ["doc_id", "text", "more"] and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < 0.5}
+
+
+def test_learning_bounds(spark):
+    """Long sentences are cut into sequences and none of their words is lost; bounds on features and sequences hold."""
+    names = {"=x": 0}
+    text = " ".join(["word"] * 70 + ["x"] * 3 + ["word"] * 60)
+    got = list(crf.sequences(text, names))
+    assert [len(s) for s in got] == [64, 64, 5] and sum(o == [0] for s in got for o in s) == 3
+    train = spark.createDataFrame([(1, f"scum number {'abcdefgh'[i % 8] * 3}") for i in range(40)] + [(0, "fine day of it") for _ in range(40)], "y int, text string")
+    assert len(crf.marking_features(train)) > 2 == len(crf.marking_features(train, 2))
+    marked, each, plain = crf.training_sequences(train, ["=scum"], 10)
+    assert len(marked) == 10 and each == 4.0 and plain == {4: 40}
+
+
 def test_chain_marginals():
-    f = crf.Field([])
+    f = crf.Field()
     f.bias, f.start, f.stay = -1.0, 0.3, 0.9
     extra = [None, 2.0, None, 1.0]
     emit = [f.bias + (x or 0) for x in extra]
@@ -377,3 +549,24 @@ def test_warc_files_and_revisits(spark, tmp_path):
     got = {r.record_id: r.status for r in warc.resolve_revisits(odd).collect()}
     assert got == {"1": "none", "3": "unverified"}
     assert warc.resolve_revisits(odd.where("false")).count() == 0
+
+
+def test_damaged_warc_files(spark, tmp_path):
+    rec = lambda i, body=b"body", **more: {"record_id": i, "kind": "response", "url": "http://a/é", "time": 20200101000000, "headers": {"x-name": "näïve"}, "digest": None, "body": body} | more
+    good = [warc.format_warc(rec(str(i), bytes([65 + i]) * 5000)) for i in range(5)]
+    ids = lambda data: [r["record_id"] for r in warc.parse_warc(data)]
+    assert ids(b"".join(good)) == ids(b"junk" + b"".join(good)) == list("01234")
+    packed = [gzip.compress(g) for g in good]
+    assert ids(b"".join(packed)) == list("01234") and ids(gzip.compress(b"".join(good))) == list("01234")
+    assert ids(b"".join(packed)[:-40]) == list("0123")  # cut off
+    assert ids(packed[0] + packed[1][:30] + b"\xff" * 40 + packed[2] + packed[3]) == ["0", "2", "3"]  # a broken member
+    assert ids(good[0] + good[1].replace(b"Content-Length: ", b"Content-Length: x") + good[2]) == ["0", "2"]
+    assert ids(good[0] + good[1][:-2000]) == ["0"] and ids(b"") == ids(b"\x1f\x8b") == ids(b"WARC/1.1") == ids(b"\x1f\x8b\x08") == []
+    odd = next(warc.parse_warc(warc.format_warc(rec(None, time=None, url=None, headers=None, body=None))))
+    assert (odd["record_id"], odd["time"], odd["url"], odd["headers"], odd["body"]) == (None, None, None, {}, b"")
+    assert next(warc.parse_warc(good[0].replace(b"WARC-Date: 2020", b"WARC-Date: soon")))["time"] is None
+    back = next(warc.parse_warc(good[0]))
+    assert (back["url"], back["headers"], back["body"]) == ("http://a/é", {"x-name": "näïve"}, b"A" * 5000)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(packed)[:-40])
+    (tmp_path / "b.warc").write_bytes(b"")
+    assert sorted(r.record_id for r in warc.read_warc(spark, f"file://{tmp_path}").collect()) == list("0123")
