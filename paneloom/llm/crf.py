@@ -42,7 +42,7 @@ PREFIXES = (4, 5, 6, 7)
 DOCS_PER_CLASS = 1000
 #: A feature marks toxic tokens if it is nearly only in toxic training documents, and in too many of them for chance: the log-likelihood ratio of that is EVIDENCE or more (chance gives that to one feature in 100,000).
 PURITY, EVIDENCE = 0.9, 20.0
-SEQUENCE, CACHE, MOST_ODDS = 64, 200_000, 8.0
+SEQUENCE, CACHE, MOST_ODDS = 64, 50_000, 8.0
 FEATURES, SEQUENCES = 20_000, 20_000
 
 

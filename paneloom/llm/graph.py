@@ -9,7 +9,7 @@ from paneloom.llm.shared import cut, drop_cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node with a link reaches.
+    """(node, component), as a written table: the smallest node that each node with a link reaches.
 
     Each round takes the least label among a node's neighbours, hooks every old label to the least
     label that its members have seen, and follows the hooks once more; chains halve their length, so
@@ -33,4 +33,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     drop_cut(both)
-    return now.select("node", F.col("label").alias("component"))
+    out = now.select("node", F.col("label").alias("component"))
+    out._staged = now._staged
+    return out

@@ -19,7 +19,7 @@ __all__ = ["ascii_lower", "cut", "drop_cut", "fold_of", "here", "maybe_broadcast
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one Arrow batch hands to Python; texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def by_value(module: str) -> None:

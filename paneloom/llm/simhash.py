@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from paneloom.llm.graph import components
-from paneloom.llm.shared import by_value, cut, drop_cut, small_batches
+from paneloom.llm.shared import by_value, cut, drop_cut, maybe_broadcast, small_batches
 
 by_value(__name__)
 
 SEED = 42
 #: Words hashed at once, so that the memory for one long text stays bounded.
 PIECE = 1 << 18
-WIDE_BITS = 512
+WIDE_BITS, SKETCH_BITS = 512, 1 << 14
 #: How many documents tell which shingles are common, and how many of those are kept. Both only set the order of shingles, not what is found.
 COMMON_DOCS, COMMON_SHINGLES = 20_000, 1 << 18
 
@@ -153,28 +153,55 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 keys.append(prefix(h, common, p, q).view(np.int64))
-                odd = np.bincount(((h >> np.uint64(20)) % np.uint64(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS) & 1
-                fps.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+                fps.append(parity(h, WIDE_BITS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists(fps), lists(keys)], ["id", "digest", "n", "fp", "keys"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, digest binary, n long, fp array<long>, keys array<long>")
 
 
+#: Documents whose shingle sets are wanted are broadcast, by their ids, up to so many, and joined beyond.
+BROADCAST_IDS = 500_000
+
+
+def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bits, as longs, that a set turns over: two sets differ in no fewer members than these differ in bits."""
+    odd = np.bincount(((hashes >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The rows of pairs (a, b, ...) whose shingle sets have the Jaccard similarity or more, told from the sets themselves."""
-    p, q = ratio(similarity)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi").distinct()
+    """The rows of a written table (a, b, ...) whose shingle sets have the Jaccard similarity or more, told from the sets themselves.
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), lists([shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(1)])], ["id", "shingles"])
+    The sets of long texts are large, so SKETCH_BITS parity bits of each text rule most other pairs out
+    before, without error; sets are made and joined for what is left.
+    """
+    p, q = ratio(similarity)
 
-    sets = cut(texts.mapInArrow(run, "id long, shingles array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("l")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("r")), "b")
-    kept = cut(both.where(F.size(F.array_intersect("l", "r")) * (p + q) >= (F.size("l") + F.size("r")) * p).select(*pairs.columns).distinct(), "similar")
-    drop_cut(sets)
-    return kept
+    def of(pairs: DataFrame, what: Callable[[np.ndarray], np.ndarray], label: str) -> DataFrame:
+        """(id, n, x) of the documents of pairs: the size of the set, and what is made of it."""
+        wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(maybe_broadcast(wanted, BROADCAST_IDS), "id", "left_semi")
+
+        def run(batches):
+            for b in batches:
+                sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), lists([what(h) for h in sets])], ["id", "n", "x"])
+
+        out = cut(texts.mapInArrow(run, "id long, n long, x array<long>"), label)
+        drop_cut(wanted)
+        return out
+
+    def kept(pairs: DataFrame, made: DataFrame, cond: Column) -> DataFrame:
+        side = lambda name: made.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("x").alias(f"x{name}"))
+        out = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(cond).select(*pairs.columns).distinct(), "similar")
+        drop_cut(made)
+        return out
+
+    differ = F.aggregate(F.zip_with("xa", "xb", lambda l, r: F.bit_count(l.bitwiseXOR(r))), F.lit(0), lambda n, x: n + x)
+    near = kept(pairs, of(pairs, lambda h: parity(h, SKETCH_BITS), "sketches"), differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p))
+    out = kept(near, of(near, lambda h: h.view(np.int64), "sets"), F.size(F.array_intersect("xa", "xb")) * (p + q) >= (F.col("na") + F.col("nb")) * p)
+    drop_cut(near)
+    return out
 
 
 def pigeonhole_keys(fp: Column, distance: int, share: int = 2) -> Column:
@@ -195,71 +222,102 @@ def pigeonhole_keys(fp: Column, distance: int, share: int = 2) -> Column:
     return F.array(*keys)
 
 
+def share_for(nodes: int, distance: int, in_a_block: int = 8) -> int:
+    """How many blocks a key takes, so that few of so many unrelated fingerprints share one: 2 for some 16 million at distance 4, 3 for a thousand million."""
+    share = 2
+    while share < 6 and nodes > in_a_block << (64 * share // (distance + share)):
+        share += 1
+    return share
+
+
+#: Rows of one block that are put in order in one task.
+ORDERED_ROWS = 50_000
+
+
 def linked(nodes: DataFrame, blocks: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], payload: list[str], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) of all nodes that have a link; two nodes link if they share a block and are close.
-
-    nodes: node and payload columns, one row each. blocks: (key, node). close(l, r) says from the
-    payload whether two rows link. Pairs within a group aren't listed: a first pass links each row of
-    a block with the row before it and with the first one. Then only rows outside a block's largest
-    component so far are compared with the rows of other components in the block, which finds every
-    link that joins two components. verify(pairs) keeps the rows (a, b, ...) that do link, where
-    close can only rule pairs out.
+    """(node, component) of all nodes that have a link, as a written table; two nodes link if they share a block and are close.
+
+    nodes: node and payload columns, one row each. blocks: (key, node, by), by being what rows of a
+    block are ordered by. close(l, r) says from the payload whether two rows link. Pairs within a group
+    aren't listed: a first pass links each row of a block with the row before it and with the block's
+    first one, its hub; rows that share most blocks with others come first, as those are what the others
+    are copies of. That leaves no pair of a block of three rows. Of larger blocks, only rows outside the
+    largest component so far are then compared with the rows of other components in the block, which
+    finds every link that joins two components. verify(pairs) keeps the rows (a, b, ...) of a written
+    table that do link, where close can only rule pairs out.
+
+    Blocks travel as numbers until the second pass; one of many rows is dealt to several tasks to be
+    ordered.
     """
-    alone = W.partitionBy("key")
-    shared = blocks.withColumn("n", F.count(F.lit(1)).over(alone)).where("n > 1").select("key", "node")
-    rows = shared.join(nodes.select("node", *payload), "node")
-    order = W.partitionBy("key").orderBy(*payload[:1], "node")
-    row = F.struct("node", *payload)
-    table = cut(rows.withColumn("before", F.lag(row).over(order)).withColumn("first", F.first(row).over(order)), "blocks")
-    get = lambda prefix: lambda name: F.col(f"{prefix}{name}")
-    near = [table.where(F.col(other).isNotNull() & (F.col(f"{other}.node") != F.col("node")) & close(get(""), get(f"{other}."))).select(F.col("node").alias("a"), F.col(f"{other}.node").alias("b")) for other in ("before", "first")]
-    pairs = near[0].union(near[1]).distinct()
-    first = components(verify(cut(pairs, "pairs")) if verify else pairs)
-
-    placed = table.select("key", "node", *payload).join(first, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
+    made: list[DataFrame] = []
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        made.append(cut(df, label))
+        return made[-1]
+
+    shared = cut(blocks.withColumn("n_rows", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n_rows > 1"), "keys")
+    part = F.pmod(F.hash("node"), F.ceil(F.col("n_rows") / ORDERED_ROWS).cast("int"))
+    ordered = shared.withColumn("n_keys", F.count(F.lit(1)).over(W.partitionBy("node"))).withColumn("part", part)
+    order = W.partitionBy("key", "part").orderBy(F.desc("n_keys"), "by", "node")
+    table = cut(ordered.select("key", "node", "n_rows", F.first("node").over(order).alias("hub"), F.lag("node").over(order).alias("before")), "blocks")
+    drop_cut(shared)
+    near = table.select("node", F.explode(F.array("before", "hub")).alias("b")).where("b <> node").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in payload])
+    get = lambda prefix: lambda name: F.col(f"{prefix}_{name}")
+    pairs = written(near.join(side("a"), "a").join(side("b"), "b").where(close(get("a"), get("b"))).select("a", "b"), "pairs")
+    if verify:
+        pairs = verify(pairs)
+    first = components(pairs)
+    made += [pairs, first]
+
+    placed = table.where("n_rows > 3").select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("at"))
     most = placed.groupBy("key", "at").count().groupBy("key").agg(F.max_by("at", F.struct("count", "at")).alias("top"), F.count(F.lit(1)).alias("n_at")).where("n_at > 1").drop("n_at")
-    open_ = cut(placed.join(most, "key"), "open")
+    open_ = cut(placed.join(most, "key").join(nodes.select("node", *payload), "node"), "open")
+    drop_cut(table)
     left = open_.where("at <> top").select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "at", *payload)])
     right = open_.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "at", "top", *payload)])
-    cond = (F.col("l_at") != F.col("r_at")) & ((F.col("r_at") == F.col("r_top")) | (F.col("l_node") < F.col("r_node"))) & close(get("l_"), get("r_"))
-    found = left.join(right, "key").where(cond)
+    cond = (F.col("l_at") != F.col("r_at")) & ((F.col("r_at") == F.col("r_top")) | (F.col("l_node") < F.col("r_node"))) & close(get("l"), get("r"))
+    found = written(left.join(right, "key").where(cond).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), "l_at", "r_at").distinct(), "pairs")
+    drop_cut(open_)
     if verify:
-        pairs = found.select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), "l_at", "r_at").distinct()
-        found = verify(cut(pairs, "pairs"))
-    more = found.select(F.col("l_at").alias("a"), F.col("r_at").alias("b")).distinct()
-    second = components(more)
-    joined = first.unionByName(second.select("node", F.col("node").alias("component")).join(first.select("node"), "node", "left_anti"))
-    return joined.join(second.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
-
-
-def _components_of(prints: DataFrame, classes: DataFrame, links: DataFrame, on: str) -> DataFrame:
-    known = classes.join(links, "node", "left").select(F.col(on), F.coalesce("component", "node").alias("component"))
-    return prints.join(known, on, "left")
+        found = verify(found)
+        made.append(found)
+    second = components(found.select(F.col("l_at").alias("a"), F.col("r_at").alias("b")).distinct())
+    made.append(second)
+    out = first.unionByName(second.select("node", F.col("node").alias("component")).join(first.select("node"), "node", "left_anti"))
+    out = cut(out.join(second.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("node", F.coalesce("final", "component").alias("component")), "linked")
+    drop_cut(*made)
+    return out
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """(id, fp, component): documents whose 64-bit fingerprints are connected by links of at most `distance` bits."""
+    """(id, fp, component), as a written table: documents whose 64-bit fingerprints are connected by links of at most `distance` bits."""
     prints = cut(classic_fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("node")), "classes")
     nodes = classes.where("node is not null")
-    blocks = nodes.select(F.explode(pigeonhole_keys(F.col("fp"), distance)).alias("key"), "node")
+    blocks = nodes.select(F.explode(pigeonhole_keys(F.col("fp"), distance, share_for(classes.count(), distance))).alias("key"), "node", F.col("fp").alias("by"))
     links = linked(nodes, blocks, lambda l, r: F.bit_count(l("fp").bitwiseXOR(r("fp"))) <= distance, ["fp"])
-    return _components_of(prints, classes, links, "fp")
+    known = classes.join(links, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    out = cut(prints.join(known, "fp", "left"), "components")
+    drop_cut(prints, classes, links)
+    return out
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component): documents connected by links of Jaccard similarity `similarity` or more; exact.
+    """(id, component), as a written table: documents connected by links of Jaccard similarity `similarity` or more; exact.
 
     Pairs that share a shingle of their prefixes are candidates, as all pairs of that similarity are.
     Sizes and fingerprints rule most others out without error: the sets may differ in no more than
     (1-s)/(1+s) of their sizes' sum. What remains is decided by the sets themselves.
     """
     p, q = ratio(similarity)
-    prints = cut(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "wide")
-    classes = cut(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+    wide = cut(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "wide")
+    classes = cut(wide.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+    prints = cut(wide.select("id", "digest"), "digests")
+    drop_cut(wide)
     words = [f"f{i}" for i in range(WIDE_BITS // 64)]
     nodes = classes.where("node is not null").select("node", "n", *[F.col("fp")[i].alias(w) for i, w in enumerate(words)])
-    blocks = classes.where("node is not null").select(F.explode("keys").alias("key"), "node")
+    blocks = classes.where("node is not null").select(F.explode("keys").alias("key"), "node", F.col("n").alias("by"))
 
     def close(l, r):
         differ = F.bit_count(l(words[0]).bitwiseXOR(r(words[0])))
@@ -269,4 +327,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         return sizes & (differ * (p + q) <= (l("n") + r("n")) * (q - p))
 
     links = linked(nodes, blocks, close, ["n", *words], lambda pairs: similar_pairs(docs, pairs, id_col, text_col, shingle, similarity))
-    return _components_of(prints.select("id", "digest"), classes.select("digest", "node"), links, "digest").drop("digest")
+    known = classes.select("digest", "node").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    out = cut(prints.join(known, "digest", "left").drop("digest"), "components")
+    drop_cut(prints, classes, links)
+    return out
