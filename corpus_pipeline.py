@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.llm import crf, linedup, mixing, simhash, winnow
-from paneloom.llm.shared import cut
+from paneloom.llm.shared import cut, here, maybe_broadcast, sweep
+
+#: Ids to drop are broadcast up to so many (16 bytes each), and shuffled beyond.
+BROADCAST_IDS = 500_000
 
 
 def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -16,8 +19,7 @@ def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives a probability of 0.5 or more go; it learns from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    toxic = crf.tag(docs, docs, labels).where("score >= 0.5").select(F.col("id").alias("_id")).distinct()
-    return docs.join(toxic, F.col("doc_id") == F.col("_id"), "left_anti")
+    return crf.clean(docs, crf.learned(docs, labels), 0.5)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +32,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of rows with one id, all."""
+    """Of each group of near copies the document with the smallest id stays; of rows with one id, all. Few that go are broadcast, so that no text is shuffled for them."""
     groups = simhash.near_duplicate_components(docs)
-    stays = groups.where(F.col("component").isNull() | (F.col("component") == F.col("id"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    stays = F.col("component").isNull() | (F.col("component") == F.col("id"))
+    goes = cut(groups.groupBy(F.col("id").alias("_id")).agg(F.bool_or(stays).alias("stays")).where(F.col("_id").isNotNull() & ~F.col("stays")).select("_id"), "goes")
+    return docs.join(maybe_broadcast(goes, BROADCAST_IDS), F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold windows of benchmark items go."""
-    found = winnow.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1)
-    dirty = found.where("contaminated").select(F.col("id").alias("_id"))
-    return docs.join(dirty, F.col("doc_id") == F.col("_id"), "left_anti")
+    return winnow.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage writes its result to the shared folder, where the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage writes its result to the shared folder, where the next one reads it; what a stage leaves there goes after it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), here()
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
+        sweep(spark, [docs], before)
     return docs
