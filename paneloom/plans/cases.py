@@ -45,7 +45,8 @@ def cn_date(d: Column) -> Column:
 def judgment_texts(spark, d) -> DataFrame:
     """doc_id, judged, judgment: the cases."""
     key = F.col("k")
-    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    # keys are dealt out before each becomes a text that takes time to read
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k")).repartition(spark.sparkContext.defaultParallelism, "k")
     born, judged = F.date_add(F.lit("1950-01-01").cast("date"), (key * 37 % 15000).cast("int")), F.date_add(F.lit("2018-01-01").cast("date"), (key % 365).cast("int"))
     caught = F.date_sub(judged, 100)
     first = F.concat(
