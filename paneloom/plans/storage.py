@@ -39,9 +39,9 @@ def csv_round_trip(spark, d):
     """Texts with quotes, commas and line ends, written as CSV and read with a declared schema and two of its columns."""
     path = out(spark, "documents-csv")
     docs = table(spark, d, "documents").where("text is not null and text <> ''").select("doc_id", "lang", "text")
-    docs.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\n").csv(path)
-    back = tables.read_csv(spark, path, "doc_id long, lang string, text string", ["doc_id", "lang", "text"])
-    return back.select("doc_id", "lang", F.length("text").cast("long").alias("n"), F.md5("text").alias("h"))
+    tables.write_csv(docs, path)
+    back = tables.read_csv(spark, path, "doc_id long, lang string, text string", ["doc_id", "lang", "text"], exact=True)
+    return back.select("doc_id", "lang", F.length("text").cast("long").alias("n"), F.md5("text").alias("h")).orderBy("doc_id")
 
 
 @query("""SELECT r_regionkey::BIGINT AS r_regionkey, r_name, count(n_nationkey) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2""")

@@ -48,12 +48,24 @@ def register_views(spark: SparkSession, sf_dir: str, names: Sequence[str] = TABL
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: Sequence[str] | None = None, header: bool = True) -> DataFrame:
+#: Stands for null in what write_csv writes, where empty strings are strings; no text is just this.
+CSV_NULL = "\u0001null\u0001"
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV that read_csv(exact=True) reads back as it was: white space at the ends, carriage returns and empty strings too."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', lineSep="\n", nullValue=CSV_NULL, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: Sequence[str] | None = None, header: bool = True, exact: bool = False) -> DataFrame:
     """Quoted fields may hold line ends and doubled quotes; kinds are inferred where no schema is given.
 
-    A byte order mark before the first name isn't part of it.
+    A byte order mark before the first name isn't part of it. exact: what write_csv wrote; else the
+    line ends are the first ones found, and empty fields are null.
     """
     kinds = {"schema": schema, "enforceSchema": True} if schema else {"inferSchema": True}
+    if exact:
+        kinds |= {"lineSep": "\n", "nullValue": CSV_NULL}
     df = spark.read.csv(path, header=header, multiLine=True, escape='"', **kinds)
     df = df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
     return df.select(*columns) if columns else df
