@@ -32,6 +32,8 @@ def query(sql: str | None = None):
 #: Place of birth and household by key mod 5, the last one being the court's own; the court is in 安徽省合肥市.
 HOMES = ("江苏省淮安市盱眙县", "湖北省利川市", "河北省石家庄市新华区", "安徽省巢湖市", "本市")
 TERMS = "一二三四五六七八九"
+#: Judgments that one task reads, about.
+TEXTS_A_TASK = 10_000
 
 
 def chosen(values, at: Column) -> Column:
@@ -45,8 +47,9 @@ def cn_date(d: Column) -> Column:
 def judgment_texts(spark, d) -> DataFrame:
     """doc_id, judged, judgment: the cases."""
     key = F.col("k")
-    # keys are dealt out before each becomes a text that takes time to read
-    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k")).repartition(spark.sparkContext.defaultParallelism, "k")
+    # keys are dealt out before each becomes a text that takes time to read, so many to a task at most that its time doesn't grow with the table
+    keys = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    rows = keys.repartition(max(spark.sparkContext.defaultParallelism, -(-keys.count() // TEXTS_A_TASK)), "k")
     born, judged = F.date_add(F.lit("1950-01-01").cast("date"), (key * 37 % 15000).cast("int")), F.date_add(F.lit("2018-01-01").cast("date"), (key % 365).cast("int"))
     caught = F.date_sub(judged, 100)
     first = F.concat(
@@ -163,8 +166,15 @@ def case_answer_errors(spark, d):
 ORIGINS_SQL = f"""o AS (SELECT *, CASE k % 5 WHEN 0 THEN '江苏省' WHEN 1 THEN '湖北省' WHEN 2 THEN '河北省' ELSE '安徽省' END AS p, CASE k % 5 WHEN 0 THEN '淮安市' WHEN 1 THEN '恩施土家族苗族自治州' WHEN 2 THEN '石家庄市' ELSE '合肥市' END AS f FROM c)"""
 
 
-def origin_rows(spark, d) -> DataFrame:
-    found = scratch.staged(extract.defendants(extract.segmented(judgment_texts(spark, d))), "defendants").withColumn("court_province", F.lit("安徽省")).withColumn("court_prefecture", F.lit("合肥市"))
+#: Fields of a party that tell its origin, and what rule labels of its custody need besides.
+PLACES, CUSTODY = ("hukou_raw", "birthplace_raw", "native_raw", "residence_raw"), ("bail", "pretrial_status_at_judgment")
+SENTENCE = ("penalty_type", "term_months", "probation")
+
+
+def origin_rows(spark, d, fields: tuple[str, ...] = PLACES) -> DataFrame:
+    """Defendants with their origins and sentences; fields: what else is read of them, the places among it."""
+    read = extract.defendants(extract.segmented(judgment_texts(spark, d)), fields).select("doc_id", "def_idx", *fields, *SENTENCE)
+    found = scratch.staged(read, "defendants").withColumn("court_province", F.lit("安徽省")).withColumn("court_prefecture", F.lit("合肥市"))
     # several of the queries read it more than once
     return scratch.staged(places.origins(found, places.build(_records(spark), 2016, (2010, 2020)), ["doc_id", "def_idx"]), "origins")
 
@@ -182,7 +192,7 @@ def case_origins(spark, d):
 UNPIVOT v ON COLUMNS(* EXCLUDE doc_id) INTO NAME field VALUE rule""")
 def case_rule_labels(spark, d):
     """The rules' features of the first defendant in the words of the labels."""
-    rows = origin_rows(spark, d).where("def_idx = 0")
+    rows = origin_rows(spark, d, PLACES + CUSTODY).where("def_idx = 0")
     return labels.long_values(rows, labels.rule_values(rows), "rule")
 
 
