@@ -148,18 +148,31 @@ def grams(df: DataFrame, ys: list[str], xs: list[str], large: str, small: str |
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[str, str], tuple] = {}
+        p = len(cols)
         for pdf in batches:
-            z = np.zeros((len(pdf), k))
-            z[:, : len(cols)] = pdf[cols].to_numpy()
+            x, w = pdf[cols].to_numpy(dtype=float), pdf["_w"].to_numpy() if weight else np.ones(len(pdf))
+            groups = pdf.groupby(["_c", "_l"]).indices
+            if not groups:
+                continue
+            g = np.empty(len(pdf), dtype=np.int64)
+            for i, at in enumerate(groups.values()):
+                g[at] = i
+            n = np.bincount(g, w)
+            means = np.stack([np.bincount(g, w * x[:, j]) for j in range(p)], axis=1) / n[:, None]
+            c = x - means[g]
+            cw = c * w[:, None]
             if small:
-                z[np.arange(len(pdf)), pdf["_s"].map(place).to_numpy()] = 1.0
-            w = pdf["_w"].to_numpy() if weight else np.ones(len(pdf))
-            for key, at in pdf.groupby(["_c", "_l"]).indices.items():
-                part, pw = z[at], w[at]
-                n = pw.sum()
-                mean = pw @ part / n
-                centred = part - mean
-                now = len(at), n, mean, (centred * pw[:, None]).T @ centred
+                # dummies are counted and never made: rows have one of them each
+                spot = g * n_levels + pdf["_s"].map(place).to_numpy(dtype=np.int64) - p
+                add_up = lambda v: np.bincount(spot, v, len(groups) * n_levels).reshape(len(groups), n_levels)  # noqa: B023, E731
+                by_level, crossed = add_up(w), np.stack([add_up(cw[:, j]) for j in range(p)], axis=1)
+            for i, (key, at) in enumerate(groups.items()):
+                mean, gram = np.zeros(k), np.zeros((k, k))
+                mean[:p], gram[:p, :p] = means[i], cw[at].T @ c[at]
+                if small:
+                    mean[p:], gram[:p, p:], gram[p:, :p] = by_level[i] / n[i], crossed[i], crossed[i].T
+                    gram[p:, p:] = np.diag(by_level[i]) - np.outer(by_level[i], by_level[i]) / n[i]
+                now = len(at), n[i], mean, gram
                 held[key] = merged(held[key], now) if key in held else now
         if held:
             yield frame(held, slot=TaskContext.get().partitionId() % PARTS)
