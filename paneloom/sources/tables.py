@@ -48,7 +48,7 @@ def register_views(spark: SparkSession, sf_dir: str, names: Sequence[str] = TABL
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-#: Stands for null in what write_csv writes, where empty strings are strings; no text is just this.
+#: Stands for null in what write_csv writes, where empty strings are strings; a text that is just this would come back as null.
 CSV_NULL = "\u0001null\u0001"
 
 
