@@ -93,18 +93,19 @@ def penalty(chunk: Column) -> Column:
     # fixed values: patterns of penalties and fines
     main = f"(死刑|无期徒刑|有期徒刑|拘役|管制)([{CN}0-9年个月零日天]*)"
     fine = f"罚金(?:人民币)?({NUM})(?:余)?元"
-    some = lambda x: F.nullif(x, F.lit(""))
+    some = lambda x: let(x, lambda v: F.when(v != "", v))
 
     def part(c):
         at = F.locate("判处", c)
         sub = F.when(c.contains("决定执行"), F.concat(F.lit("决定执行"), F.substring_index(c, "决定执行", -1))).when(at > 0, F.substring(c, at, F.length(c))).otherwise(c)
-        return let(F.struct(c.alias("all"), sub.alias("sub")), matched)
+        return let(F.struct(c.alias("all"), sub.alias("sub")), lambda p: let(F.struct(p["all"].alias("all"), p["sub"].alias("sub"), F.regexp_extract(p["sub"], main, 0).alias("hit")), matched))
 
     def matched(p):
-        sub = p["sub"]
-        rest = F.substring(sub, position(sub, main, F.lit(0)) + F.length(F.regexp_extract(sub, main, 0)) + 1, F.length(sub))
+        # a match of main stands first where its text does
+        sub, hit = p["sub"], p["hit"]
+        rest = F.when(hit != "", F.substring(sub, F.position(hit, sub) + F.length(hit), F.length(sub)))
         paid = F.coalesce(some(F.regexp_extract(sub, fine, 1)), some(F.regexp_extract(p["all"], fine, 1)))
-        return let(F.struct(sub.alias("sub"), some(F.regexp_extract(sub, main, 1)).alias("kind"), F.regexp_extract(sub, main, 2).alias("term"), rest.alias("rest"), some(F.regexp_extract(rest, f"缓刑([{CN}0-9年个月零日天]+)", 1)).alias("on"), paid.alias("paid")), valued)
+        return let(F.struct(sub.alias("sub"), some(F.regexp_extract(hit, main, 1)).alias("kind"), F.regexp_extract(hit, main, 2).alias("term"), rest.alias("rest"), some(F.regexp_extract(rest, f"缓刑([{CN}0-9年个月零日天]+)", 1)).alias("on"), paid.alias("paid")), valued)
 
     def valued(p):
         kind, sub = p["kind"], p["sub"]

@@ -38,3 +38,16 @@ def test_unwanted_fields_are_not_read(spark):
     assert sorted(few.collect(), key=str) == sorted(whole.select(few.columns).collect(), key=str)
     plan = few._jdf.queryExecution().optimizedPlan().toString()
     assert parties.ANY_MEASURE not in plan and parties.EDUCATION not in plan and parties.REGISTERED in plan
+
+
+def test_finds_of_a_paragraph_are_read_once(spark):
+    rows = spark.createDataFrame([("被告人丁某。", "")], "para string, more string")
+    plan = parties.histories(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(parties.DATE) <= 2 and plan.count(parties.MEASURES["rsl"] + ",") <= 1
+
+
+def test_texts_are_sought_once_for_a_field(spark):
+    rows = spark.createDataFrame([("被告人丁某。", None)], "para string, judged date")
+    plan = parties.identities(rows)._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (parties.GENDER, parties.REGISTERED, parties.JOB, parties.AFTER_EDUCATION):
+        assert plan.count(pattern) == 1, pattern
